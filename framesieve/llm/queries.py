@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, telephony, tokens
+from . import mixing, simhash, telephony, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +18,11 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.simhash_groups(_table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.media_digests(_table(spark, sf_dir, "documents"))
 
@@ -29,7 +35,7 @@ def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.tokenized(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {"op5_media": op5_media, "op8_mixing": op8_mixing, "op9_token_ids": op9_token_ids}
+QUERIES = {"op1_simhash": op1_simhash, "op5_media": op5_media, "op8_mixing": op8_mixing, "op9_token_ids": op9_token_ids}
 
 _OP8 = r"""
 WITH s AS (
