@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, simhash, telephony, tokens
+from . import mixing, pii, simhash, telephony, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +35,16 @@ def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.tokenized(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op5_media": op5_media, "op8_mixing": op8_mixing, "op9_token_ids": op9_token_ids}
+#: Of this repository's runs; a corpus of real people's data gets a key that is kept apart.
+PII_KEY = "framesieve-2024"
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.pseudonymised(_table(spark, sf_dir, "documents"), PII_KEY, found="kinds")
+    return done.select("doc_id", "text", "kinds", F.size("kinds").alias("n_replaced"))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op5_media": op5_media, "op8_mixing": op8_mixing, "op9_token_ids": op9_token_ids, "op10_pii": op10_pii}
 
 _OP8 = r"""
 WITH s AS (
