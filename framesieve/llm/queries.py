@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pii, simhash, telephony, tokens
+from . import mixing, pii, simhash, telephony, tokens, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.media_digests(_table(spark, sf_dir, "documents"))
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "text", "kinds", F.size("kinds").alias("n_replaced"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op5_media": op5_media, "op8_mixing": op8_mixing, "op9_token_ids": op9_token_ids, "op10_pii": op10_pii}
+QUERIES = {"op1_simhash": op1_simhash, "op5_media": op5_media, "op7_topk": op7_topk, "op8_mixing": op8_mixing, "op9_token_ids": op9_token_ids, "op10_pii": op10_pii}
 
 _OP8 = r"""
 WITH s AS (
@@ -70,4 +74,13 @@ SELECT s.doc_id, s.size, u.source_size, u.target, (s.size * (u.n_full + CASE WHE
 FROM s JOIN u ON s.source IS NOT DISTINCT FROM u.source JOIN k ON s.source IS NOT DISTINCT FROM k.source AND s.h = k.h
 """
 
-ORACLES = {"op8_mixing": _OP8}
+_OP7 = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+      FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+ORACLES = {"op7_topk": _OP7, "op8_mixing": _OP8}
