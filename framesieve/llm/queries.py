@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pii, simhash, telephony, tokens, topk, wfst
+from . import mixing, pii, simhash, telephony, tokens, topk, toxicity, wfst
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = wfst.encoded(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"), check="decodes")
     return out.select("doc_id", "ids", F.size("ids").alias("n_ids"), "decodes")
@@ -53,7 +58,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "text", "kinds", F.size("kinds").alias("n_replaced"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op4_sentencepiece": op4_sentencepiece, "op5_media": op5_media, "op7_topk": op7_topk, "op8_mixing": op8_mixing, "op9_token_ids": op9_token_ids, "op10_pii": op10_pii}
+QUERIES = {"op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op4_sentencepiece": op4_sentencepiece, "op5_media": op5_media, "op7_topk": op7_topk, "op8_mixing": op8_mixing, "op9_token_ids": op9_token_ids, "op10_pii": op10_pii}
 
 _OP8 = r"""
 WITH s AS (
