@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pii, simhash, telephony, tokens, topk, toxicity, wfst
+from . import kneser_ney, mixing, pii, simhash, telephony, tokens, topk, toxicity, wfst
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,11 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.media_digests(_table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = _table(spark, sf_dir, "labels").filter("quality = 1")
+    return kneser_ney.quality(_table(spark, sf_dir, "documents"), trusted)
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -58,7 +63,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "text", "kinds", F.size("kinds").alias("n_replaced"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op4_sentencepiece": op4_sentencepiece, "op5_media": op5_media, "op7_topk": op7_topk, "op8_mixing": op8_mixing, "op9_token_ids": op9_token_ids, "op10_pii": op10_pii}
+QUERIES = {"op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op4_sentencepiece": op4_sentencepiece, "op5_media": op5_media, "op6_quality": op6_quality, "op7_topk": op7_topk, "op8_mixing": op8_mixing, "op9_token_ids": op9_token_ids, "op10_pii": op10_pii}
 
 _OP8 = r"""
 WITH s AS (
