@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kneser_ney, mixing, pii, simhash, telephony, tokens, topk, toxicity, wfst
+from . import kneser_ney, licenses, mixing, pii, simhash, telephony, tokens, topk, toxicity, wfst
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(licenses.laid_out(_table(spark, sf_dir, "documents")))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = wfst.encoded(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"), check="decodes")
     return out.select("doc_id", "ids", F.size("ids").alias("n_ids"), "decodes")
@@ -63,7 +67,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "text", "kinds", F.size("kinds").alias("n_replaced"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op4_sentencepiece": op4_sentencepiece, "op5_media": op5_media, "op6_quality": op6_quality, "op7_topk": op7_topk, "op8_mixing": op8_mixing, "op9_token_ids": op9_token_ids, "op10_pii": op10_pii}
+QUERIES = {"op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op3_licenses": op3_licenses, "op4_sentencepiece": op4_sentencepiece, "op5_media": op5_media, "op6_quality": op6_quality, "op7_topk": op7_topk, "op8_mixing": op8_mixing, "op9_token_ids": op9_token_ids, "op10_pii": op10_pii}
 
 _OP8 = r"""
 WITH s AS (
@@ -98,4 +102,4 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
-ORACLES = {"op7_topk": _OP7, "op8_mixing": _OP8}
+ORACLES = {"op3_licenses": licenses.oracle_sql(), "op7_topk": _OP7, "op8_mixing": _OP8}
