@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import capture_queries
+from . import capture_queries, pair_queries
 
-_MODULES = (capture_queries,)
+_MODULES = (capture_queries, pair_queries)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in _MODULES for k, s in m.ORACLES.items()}
