@@ -7,7 +7,11 @@ without the ids of the others.
 
 from __future__ import annotations
 
+import json
+import re
+import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,32 +28,112 @@ IDS_SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<i
 _ARROW = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("part_start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
 #: Row groups of 32 MB with pages of 64 KB: the page index then finds a document's ids in a few pages.
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 64 << 10, 2_000
-_tokenizers: dict = {}
+#: New words and pieces after which a worker forgets those before the last so many.
+REMEMBERED = 500_000
 
 
-def _tokenizer(path: str):
-    if path not in _tokenizers:
+class Encoder:
+    """A byte-level BPE tokenizer of the tokenizers library that looks words up it has met before.
+
+    Its pre-tokenizer always cuts before a single space between two characters that aren't white space, so
+    the parts between such spaces are encoded on their own. A part of Latin letters, digits, other ASCII
+    signs but the apostrophe, and single line ends is cut further, as its pre-tokenizer would, and its pieces
+    go to the library's BPE model. Anything else goes through the whole library, as do texts that
+    hold one of its added tokens.
+    """
+
+    _piece = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+|[0-9]+|[!-&(-/:-@\\[-`{-~]+|\n(?=\\S)")
+    _space = re.compile(r"(?<=\S) (?=\S)")
+    _odd = re.compile(r" \s|\s ")
+
+    def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = Tokenizer.from_file(path)
-    return _tokenizers[path]
+        self.whole = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        state = json.loads(self.whole.to_str())
+        pre = state["pre_tokenizer"] or {}
+        #: What is said above holds for this pre-tokenizer alone; with any other, all goes through the whole library.
+        self.cut = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not state["normalizer"] and not state["truncation"] and not state["padding"] and state["model"]["type"] == "BPE"
+        kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        other = (b for b in range(256) if b not in set(kept))
+        self.letters = {b: b for b in kept} | {b: 256 + n for n, b in enumerate(other)}
+        self.model = self.whole.model
+        #: Little-endian 32-bit ids of words, with the space before them, met lately and before that.
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _of_piece(self, piece: str) -> bytes:
+        """Ids of one of the pre-tokenizer's pieces."""
+        mapped = piece.encode().decode("latin-1").translate(self.letters)
+        return array("i", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+
+    def _of_rest(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            if len(self.pieces) >= REMEMBERED:
+                self.pieces.clear()
+            found = self.pieces[piece] = self._of_piece(piece)
+        return found
+
+    def _of_part(self, part: str) -> bytes:
+        """Ids of a part of a text, with the space before it if it has one."""
+        start = part.startswith(" ")
+        pieces = self._piece.findall(part, start)
+        if not pieces or sum(map(len, pieces)) + start != len(part):
+            return array("i", self.whole.encode(part, add_special_tokens=False).ids).tobytes()
+        if not start:
+            return b"".join(map(self._of_rest, pieces))
+        if len(pieces) == 1:
+            return self._of_piece(part)
+        return self._of_word(pieces[0]) + b"".join(map(self._of_rest, pieces[1:]))
+
+    def _of_word(self, word: str) -> bytes:
+        """Ids of a space and word. What hasn't been met among the last REMEMBERED new words is forgotten."""
+        found = self.words.get(word) or self.older.get(word) or self._of_part(" " + word)
+        if len(word) <= 64:
+            if len(self.words) >= REMEMBERED:
+                self.words, self.older = {}, self.words
+            self.words[word] = found
+        return found
+
+    def ids(self, text: str) -> bytes:
+        """Ids of text as little-endian 32-bit numbers."""
+        if not text:
+            return b""
+        if not self.cut or any(t in text for t in self.added):
+            return array("i", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+        if text[0].isspace() or text[-1].isspace() or self._odd.search(text):
+            first, *parts = self._space.split(text)
+            return self._of_part(first) + b"".join([self._of_part(" " + p) for p in parts])
+        first, *words = text.split(" ")
+        found = list(map(self.words.get, words))
+        if None in found:
+            found = [self._of_word(w) if x is None else x for w, x in zip(words, found, strict=True)]
+        return self._of_part(first) + b"".join(found)
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def _encoder_of(path: str) -> Encoder:
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def _encoder(tokenizer_path: str, end_id: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, part, start = _tokenizer(tokenizer_path), TaskContext.get().partitionId(), 0
+        encoder, part, start, end = _encoder_of(tokenizer_path), TaskContext.get().partitionId(), 0, struct.pack("<i", end_id)
         for batch in slices(batches, "text", 2 << 20):
-            texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
-            ids = [np.array(e.ids, dtype=np.int32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            n = np.array([len(x) + 1 for x in ids], dtype=np.int64)
+            ids = [encoder.ids(t or "") + end for t in batch.column("text").to_pylist()]
+            n = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
             ends = np.cumsum(n)
-            flat = np.empty(int(ends[-1]), dtype=np.int32)
-            for x, a, b in zip(ids, ends - n, ends, strict=True):
-                flat[a : b - 1] = x
-                flat[b - 1] = end_id
+            flat = np.frombuffer(b"".join(ids), dtype="<i4")
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.full(len(n), part, dtype=np.int32)), pa.array(start + ends - n), pa.array(n), lists], schema=_ARROW)
             start += int(ends[-1])
@@ -71,7 +155,7 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer_path: str, text: str =
     order = [F.col("doc_id"), F.xxhash64("text")]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     ids = rows.mapInArrow(_encoder(tokenizer_path, end_id), IDS_SCHEMA)
-    options = {"compression": "zstd", "parquet.block.size": ROW_GROUP_BYTES, "parquet.page.size": PAGE_BYTES, "parquet.page.row.count.limit": PAGE_ROWS, "parquet.enable.dictionary": str(encoding == "dictionary").lower()}
+    options = {"compression": "snappy", "parquet.block.size": ROW_GROUP_BYTES, "parquet.page.size": PAGE_BYTES, "parquet.page.row.count.limit": PAGE_ROWS, "parquet.enable.dictionary": str(encoding == "dictionary").lower()}
     if encoding == "delta":
         options["parquet.writer.version"] = "PARQUET_2_0"
     ids.write.options(**options).parquet(path)
