@@ -17,8 +17,10 @@ import heapq
 import itertools
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -94,14 +96,16 @@ class Model:
         usable = [s for s, t in zip(self.scores, self.types, strict=True) if t == NORMAL]
         self.best, self.worst = max(usable, default=0.0), min(usable, default=0.0)
         self.byte_ids = {int(p[3:5], 16): k for k, p in enumerate(self.pieces) if self.types[k] == BYTE}
-        #: The piece transducer: a state is a dict of arcs by character; "" holds the piece that ends there.
-        self.start: dict = {}
+        #: The piece transducer: a state is [piece that ends there or -1, arcs by character].
+        self.start: list = [-1, {}]
         for piece, k in self.ids.items():
             state = self.start
             for c in piece:
-                state = state.setdefault(c, {})
-            state[""] = k
+                state = state[1].setdefault(c, [-1, {}])
+            state[0] = k
         self.costs = {p: -self.scores[k] for p, k in self.ids.items()}
+        #: Two characters that no piece has next to each other: no arc crosses the place between them.
+        self.together = {a + b for p in self.ids for a, b in itertools.pairwise(p)}
         longer = set(itertools.chain.from_iterable(p for p in self.ids if len(p) > 1))
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids):
             self.parts = re.compile(r"(?s).+")
@@ -126,12 +130,12 @@ class Model:
         """(end, weight) of the arcs that leave ``at``: of pieces, and of the fallback if the character is no piece."""
         state, known = self.start, False
         for end in range(at, len(part)):
-            state = state.get(part[end])
+            state = state[1].get(part[end])
             if state is None:
                 break
-            if "" in state:
+            k = state[0]
+            if k >= 0:
                 known |= end == at
-                k = state[""]
                 yield end + 1, -(self.scores[k] if self.types[k] == NORMAL else (end + 1 - at) * self.best - 0.1)
         if not known:
             yield at + 1, UNKNOWN_COST - self.worst
@@ -193,37 +197,40 @@ class Model:
         return found
 
     def _merge_path(self, part: str) -> list[str] | None:
-        """The path of finite weight in a BPE model, or None where a character of part is no piece or none is found."""
-        n, size, pairs = len(part), len(self.pieces), self.pairs
-        last, back = [-1] * (n + 1), [-1] * (n + 1)
-        for at in range(n):
-            before = last[at]
-            if at and before < 0:
-                continue
-            state = self.start
-            for end in range(at, n):
-                state = state.get(part[end])
-                if state is None:
-                    if end == at:
-                        return None
+        """The path of finite weight in a BPE model, or None where a character of part is no piece or none is found.
+
+        Finite paths weigh nothing, so the first one that reaches the end is the shortest. Long arcs come first;
+        nodes (a place and the piece before it) without a way on are left for good.
+        """
+        n, size, pairs, start = len(part), len(self.pieces), self.pairs, self.start
+        at, before, open_arcs, trail, dead = 0, -1, None, [], set()
+        while at < n:
+            if open_arcs is None:
+                open_arcs, state = [], start
+                for end in range(at, n):
+                    state = state[1].get(part[end])
+                    if state is None:
+                        break
+                    if state[0] >= 0:
+                        open_arcs.append((end + 1, state[0]))
+                if not open_arcs or open_arcs[0][0] != at + 1:
+                    return None
+            while open_arcs:
+                arc = open_arcs.pop()
+                weight = pairs.get(before * size + arc[1])
+                if weight is None:
+                    weight = self._follows(before, arc[1])
+                if not weight and arc not in dead:
+                    trail.append((at, before, open_arcs))
+                    (at, before), open_arcs = arc, None
                     break
-                k = state.get("")
-                if k is None:
-                    if end == at:
-                        return None
-                elif last[end + 1] < 0:  # no path of weight 0 has come here yet
-                    weight = pairs.get(before * size + k)
-                    if weight is None:
-                        weight = self._follows(before, k)
-                    if not weight:
-                        last[end + 1], back[end + 1] = k, at
-        if n and last[n] < 0:
-            return None
-        out, end = [], n
-        while end:
-            out.append(part[back[end] : end])
-            end = back[end]
-        return out[::-1]
+            else:
+                if not trail:
+                    return None
+                dead.add((at, before))
+                at, before, open_arcs = trail.pop()
+        places = [t[0] for t in trail] + [n]
+        return [part[a:b] for a, b in itertools.pairwise(places)]
 
     def path(self, part: str) -> list[str]:
         """The pieces, or characters that are none, on the shortest path through part's lattice."""
@@ -244,19 +251,30 @@ class Model:
             end = back[end]
         return out[::-1]
 
-    def _part(self, part: str) -> tuple[int, ...]:
+    def _uncut(self, part: str) -> tuple[int, ...]:
+        """Ids of a part that has no place which all paths meet, as far as pairs of characters tell."""
         found = self.remembered.get(part)
         if found is None:
-            if len(self.remembered) >= REMEMBERED:
-                self.remembered.clear()
-            ids = itertools.chain.from_iterable((self.ids[p],) if p in self.ids else itertools.chain.from_iterable(map(self.fallback, p)) for p in self.path(part))
-            found = tuple(ids)
+            found = tuple(itertools.chain.from_iterable((self.ids[p],) if p in self.ids else itertools.chain.from_iterable(map(self.fallback, p)) for p in self.path(part)))
             if len(part) <= 64:
                 self.remembered[part] = found
         return found
 
+    def _part(self, part: str) -> tuple[int, ...]:
+        if len(self.remembered) >= REMEMBERED:
+            self.remembered.clear()
+        together = self.together
+        cuts = [k for k, pair in enumerate(map("".join, itertools.pairwise(part)), 1) if pair not in together]
+        if not cuts:
+            return self._uncut(part)
+        found = tuple(itertools.chain.from_iterable(self._uncut(part[a:b]) for a, b in itertools.pairwise([0, *cuts, len(part)])))
+        if len(part) <= 64:
+            self.remembered[part] = found
+        return found
+
     def encode(self, text: str) -> list[int]:
-        return list(itertools.chain.from_iterable(map(self._part, self.parts.findall(self.normalised(text)))))
+        known = self.remembered
+        return list(itertools.chain.from_iterable([known[p] if p in known else self._part(p) for p in self.parts.findall(self.normalised(text))]))
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that aren't UTF-8 become U+FFFD."""
@@ -288,10 +306,16 @@ def encoded(docs: DataFrame, model_path: str, text: str = "text", keep: tuple[st
         model = load(model_path)
         for batch in slices(batches, "__text__", 2 << 20):
             texts = ["" if t is None else t for t in batch.column("__text__").to_pylist()]
-            found = [model.encode(t) for t in texts]
-            columns = [*batch.columns[:-1], pa.array(found, pa.list_(pa.int32()))]
+            flat, ends, exact = array("i"), [0], []
+            for t in texts:
+                found = model.encode(t)
+                flat.extend(found)
+                ends.append(len(flat))
+                if check:
+                    exact.append(model.decode(found) == _plain(model, t))
+            columns = [*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, dtype=np.int32)))]
             if check:
-                columns.append(pa.array([model.decode(x) == _plain(model, t) for x, t in zip(found, texts, strict=True)], pa.bool_()))
+                columns.append(pa.array(exact, pa.bool_()))
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, ids, *[check] * bool(check)])
 
     kept = [F.col(f"`{c}`") for c in keep]
