@@ -28,7 +28,7 @@ def transfer_plan(states: DataFrame, companions: DataFrame, existing: DataFrame,
     main = main.withColumn("want", target)
     with_rank = _freed(main, existing, ["group_id", "pos"])
     side = with_rank.join(companions, F.col("src") == F.col("primary"))
-    renamed = F.concat(F.regexp_replace("dst", "\\.[^./]*$", ""), extension(F.col("companion")))
+    renamed = F.concat(F.regexp_replace("dst", "\\.[^./]*$", ""), F.regexp_extract("companion", "\\.[^./]*$", 0))
     place = Window.partitionBy("group_id", "pos").orderBy("companion")
     side = side.select("group_id", "pos", F.row_number().over(place).alias("sub"), F.col("companion").alias("src"), renamed.alias("want"), F.concat(F.col("kind"), F.lit("_companion")).alias("kind"))
     side = _freed(side, existing, ["group_id", "pos", "sub"])

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .grouped import fold_groups
+
 ACCEPT, OVERLAP = 0.45, 0.4
 
 
@@ -53,16 +55,17 @@ def box_overlap(a: np.ndarray, b: np.ndarray) -> float:
 def suppressed(boxes: DataFrame, image: str = "image", overlap: float = OVERLAP) -> DataFrame:
     """The boxes (image, x1, y1, x2, y2, score) that no kept box with a higher score overlaps by more than overlap."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["score", "x1", "y1", "x2", "y2"], ascending=[False, True, True, True, True])
-        kept: list[int] = []
-        table = rows[["x1", "y1", "x2", "y2"]].to_numpy(dtype=float)
-        for k, box in enumerate(table):
-            if all(box_overlap(box, table[j]) <= overlap for j in kept):
-                kept.append(k)
-        return rows.iloc[kept]
+    names = [image, "x1", "y1", "x2", "y2", "score", *[c for c in boxes.columns if c not in (image, "x1", "y1", "x2", "y2", "score")]]
+
+    def keep(_: object, rows: Iterator[tuple]) -> list[tuple]:
+        kept: list[tuple] = []
+        for row in sorted(rows, key=lambda r: (-r[5], *r[1:5])):
+            if all(box_overlap(row[1:5], other[1:5]) <= overlap for other in kept):
+                kept.append(row)
+        return kept
 
-    return boxes.groupBy(image).applyInPandas(run, boxes.schema)
+    rows = boxes.select(*names)
+    return fold_groups(rows, image, keep, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema))
 
 
 def main_face(faces: str) -> F.Column:

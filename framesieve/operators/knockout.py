@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .grouped import fold_groups
+
 STATE = "group_id long, images array<string>, left string, right string, pending array<string>, losers array<string>, winner string, extra_winners array<string>, finished boolean, skips int"
 #: Snapshots that undo can go back to.
 UNDO = 50
@@ -91,20 +92,20 @@ def replay(images: DataFrame, decisions: DataFrame) -> DataFrame:
     images: (group_id, pos, path); decisions: (group_id, seq, action, arg). Decisions of unknown groups have no effect.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        own = rows[rows["kind"] == 0].sort_values(["seq", "action"])
-        names = [x.strip() for x in STATE.split(", ")]
-        columns = [x.split(" ")[0] for x in names]
-        if own.empty:
-            return pd.DataFrame(columns=columns)
-        state = Knockout(own["action"])
-        for action, arg in rows[rows["kind"] == 1].sort_values(["seq", "action"])[["action", "arg"]].itertuples(index=False):
+    def fold(group_id: object, rows: Iterator[tuple]) -> list[tuple]:
+        members, made = [], []
+        for _, kind, _, action, arg in rows:
+            (members if kind == 0 else made).append((action, arg))
+        if not members:
+            return []
+        state = Knockout(x for x, _ in members)
+        for action, arg in made:
             state.apply(action, arg)
-        return pd.DataFrame([state.row(rows["group_id"].iloc[0])], columns=columns)
+        return [state.row(group_id)]
 
     a = images.select("group_id", F.lit(0).alias("kind"), F.col("pos").cast("long").alias("seq"), F.col("path").alias("action"), F.lit(None).cast("string").alias("arg"))
     b = decisions.select("group_id", F.lit(1).alias("kind"), F.col("seq").cast("long").alias("seq"), "action", "arg")
-    return a.unionByName(b).groupBy("group_id").applyInPandas(fold, STATE)
+    return fold_groups(a.unionByName(b), "group_id", fold, STATE, ["kind", "seq", "action"])
 
 
 def member_status(states: DataFrame) -> DataFrame:
