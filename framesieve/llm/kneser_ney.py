@@ -10,15 +10,17 @@ perplexities of its language's trusted documents.
 from __future__ import annotations
 
 import math
-import re
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, slices, stored
+from .common import maybe_broadcast, raw_texts, slices, stored
 
 ORDER, BEGIN, END = 4, "\x02", "\x03"
 #: A document may be as perplexing as all but so small a share of its language's trusted documents.
@@ -29,13 +31,6 @@ BIN = 0.001
 MODEL_ROWS, REMEMBERED, COUNTED = 600_000, 300_000, 200_000
 #: Trusted keys (a number each) up to which they are broadcast.
 KEY_ROWS = 1_000_000
-_BREAK = re.compile("[ \t-\r]+")
-
-
-def _words(text: str | None) -> list[str]:
-    return [w for w in _BREAK.split(text) if w] if text else []
-
-
 def _grams(word: str, order: int) -> list[str]:
     padded = BEGIN * (order - 1) + word + END
     return [padded[i : i + order] for i in range(len(word) + 1)]
@@ -44,22 +39,24 @@ def _grams(word: str, order: int) -> list[str]:
 def count_ngrams(trusted: DataFrame, order: int = ORDER) -> DataFrame:
     """(lang, gram, c) of all of trusted's rows (lang, text)."""
 
-    def emit(words: Counter) -> pa.RecordBatch:
-        grams: Counter = Counter()
-        for (lang, word), n in words.items():
-            for g in _grams(word, order):
-                grams[lang, g] += n
+    def emit(words: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+        for lang, own in words.items():
+            grams: dict[str, int] = {}
+            seen = grams.get
+            for word, n in own.items():
+                for g in _grams(word.decode(), order):
+                    grams[g] = seen(g, 0) + n
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.keys(), pa.string()), pa.array(grams.values(), pa.int64())], names=["lang", "gram", "c"])
         words.clear()
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in grams], pa.string()), pa.array([k[1] for k in grams], pa.string()), pa.array(grams.values(), pa.int64())], names=["lang", "gram", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
+        words: dict[str, Counter] = {}
         for batch in slices(batches, "text"):
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words.update((lang, w) for w in _words(text))
-                if len(words) > COUNTED:
-                    yield emit(words)
-        yield emit(words)
+            for lang, text in zip(batch.column("lang").to_pylist(), raw_texts(batch.column("text")), strict=True):
+                words.setdefault(lang, Counter()).update((text or b"").split())
+                if len(words[lang]) > COUNTED:
+                    yield from emit(words)
+        yield from emit(words)
 
     return trusted.mapInArrow(run, "lang string, gram string, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
 
@@ -106,7 +103,7 @@ def build_model(counts: DataFrame, order: int = ORDER) -> DataFrame:
 class Scorer:
     """A model's tables in one process."""
 
-    def __init__(self, rows: list[tuple[str, str, str, float]], order: int):
+    def __init__(self, rows: Iterable[tuple[str, str, str, float]], order: int):
         self.order, self.p, self.b, self.unknown = order, {}, {}, {}
         for lang, kind, gram, value in rows:
             if kind == "u":
@@ -118,6 +115,9 @@ class Scorer:
         """Sum of the logarithms of the probabilities of a word's characters and its end."""
         p, b, unknown, total = self.p[lang], self.b.get(lang, {}), self.unknown[lang], []
         for gram in _grams(word, self.order):
+            if gram in p:
+                total.append(p[gram])
+                continue
             for k in range(self.order):
                 if gram[k:] in p:
                     total.append(p[gram[k:]])
@@ -129,35 +129,61 @@ class Scorer:
         return math.fsum(total)
 
 
+class _Remembered:
+    """Scores of one language's words, those met lately and before that."""
+
+    def __init__(self, scorer: Scorer, lang: str):
+        self.scorer, self.lang, self.new, self.old = scorer, lang, {}, {}
+
+    def of(self, words: list[bytes]) -> list[float]:
+        found = list(map(self.new.get, words))
+        if None in found:
+            found = [self._score(w) if x is None else x for w, x in zip(words, found, strict=True)]
+        return found
+
+    def _score(self, word: bytes) -> float:
+        found = self.new.get(word)
+        if found is None:
+            found = self.old.get(word)
+            if found is None:
+                found = self.scorer.word(self.lang, word.decode())
+            if len(word) <= 64:
+                if len(self.new) >= REMEMBERED:
+                    self.new, self.old = {}, self.new
+                self.new[word] = found
+        return found
+
+
+def _packed(rows: pd.DataFrame) -> pd.DataFrame:
+    text = "\n".join(rows["gram"].str.replace("\n", "\\n"))
+    values = rows["value"].to_numpy(dtype="<f8").tobytes()
+    return pd.DataFrame({"lang": rows["lang"].iloc[:1], "kind": rows["kind"].iloc[:1], "grams": [zlib.compress(text.encode())], "values": [zlib.compress(values, 1)]})
+
+
+def _unpacked(blobs: list[tuple[str, str, bytes, bytes]]) -> Iterator[tuple[str, str, str, float]]:
+    for lang, kind, grams, values in blobs:
+        names = zlib.decompress(grams).decode().split("\n")
+        for gram, value in zip(names, np.frombuffer(zlib.decompress(values), dtype="<f8").tolist(), strict=True):
+            yield lang, kind, gram, value
+
+
 def _score_here(docs: DataFrame, model: DataFrame, order: int) -> DataFrame:
-    rows = [tuple(r) for r in model.collect()]
-    shared = docs.sparkSession.sparkContext.broadcast(rows)
+    """Scores with the whole model in each worker; it goes there, and through the driver, packed."""
+    parts = model.groupBy("lang", "kind", F.pmod(F.xxhash64("gram"), F.lit(16))).applyInPandas(_packed, "lang string, kind string, grams binary, values binary")
+    shared = docs.sparkSession.sparkContext.broadcast([(r["lang"], r["kind"], bytes(r["grams"]), bytes(r["values"])) for r in parts.toLocalIterator()])
     scorers: list = []  # filled in each worker
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not scorers:
-            scorers.append(Scorer(shared.value, order))
+            scorers.append(Scorer(_unpacked(shared.value), order))
         scorer, known = scorers[0], {}
         for batch in slices(batches, "text"):
             sums, symbols = [], []
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words = _words(text)
-                symbols.append(sum(map(len, words)) + len(words))
-                if lang not in scorer.p:
-                    sums.append(None)
-                    continue
-                own = known.setdefault(lang, {})
-                if len(own) > REMEMBERED:
-                    own.clear()
-                total = []
-                for w in words:
-                    s = own.get(w)
-                    if s is None:
-                        s = scorer.word(lang, w)
-                        if len(w) <= 64:
-                            own[w] = s
-                    total.append(s)
-                sums.append(math.fsum(total))
+            for lang, text in zip(batch.column("lang").to_pylist(), raw_texts(batch.column("text")), strict=True):
+                words = (text or b"").split()
+                # Characters start with a byte that doesn't go on with another's.
+                symbols.append(int(np.count_nonzero(np.frombuffer(b"".join(words), dtype=np.int8) >= -64)) + len(words))
+                sums.append(math.fsum(known.setdefault(lang, _Remembered(scorer, lang)).of(words)) if lang in scorer.p else None)
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("lang"), pa.array(sums, pa.float64()), pa.array(symbols, pa.int64())], names=["key", "lang", "loglik", "symbols"])
 
     schema = docs.select("key", "lang").schema.add("loglik", "double").add("symbols", "long")
@@ -167,7 +193,7 @@ def _score_here(docs: DataFrame, model: DataFrame, order: int) -> DataFrame:
 def _score_by_joins(docs: DataFrame, model: DataFrame, order: int) -> DataFrame:
     """As _score_here, for a model of any size: words and n-grams meet the count tables in hash shards."""
     rows = stored(docs.select("key", "lang", "text").withColumn("row", F.monotonically_increasing_id()), "kn-rows")
-    rows_words = rows.select("row", "lang", F.explode(F.split("text", "[ \t-\r]+")).alias("word")).filter("word <> ''").groupBy("row", "lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    rows_words = rows.select("row", "lang", F.explode(F.split("text", "[ \\t-\\r]+")).alias("word")).filter("word <> ''").groupBy("row", "lang", "word").agg(F.count(F.lit(1)).alias("n"))
     rows_words = stored(rows_words, "kn-words")
     words = rows_words.join(model.select("lang").distinct(), "lang", "left_semi").select("lang", "word").distinct()
     padded = F.concat(F.lit(BEGIN * (order - 1)), F.col("word"), F.lit(END))
