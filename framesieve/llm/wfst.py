@@ -33,8 +33,8 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: What an unknown character costs beyond the worst piece of a unigram model.
 UNKNOWN_COST = 10.0
-#: Parts and pairs that a worker remembers; beyond, it forgets all and goes on.
-REMEMBERED = 500_000
+#: New parts, or pairs, after which a worker forgets those before the last so many.
+REMEMBERED = 250_000
 INFINITY = float("inf")
 
 
@@ -112,7 +112,8 @@ class Model:
         else:
             inner = "".join(re.escape(c) for c in sorted(longer - {SPACE}))
             self.parts = re.compile(rf"(?s){SPACE}*[{inner}]+|{SPACE}+|." if inner else r"(?s).")
-        self.remembered: dict[str, tuple[int, ...]] = {}
+        self.remembered: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pairs: dict[int, float] = {}
         self.output = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else " ⁇ ".encode() if t == UNKNOWN else p.replace(SPACE, " ").encode() for p, t in zip(self.pieces, self.types, strict=True)]
 
@@ -251,30 +252,33 @@ class Model:
             end = back[end]
         return out[::-1]
 
-    def _uncut(self, part: str) -> tuple[int, ...]:
+    def _uncut(self, part: str) -> bytes:
         """Ids of a part that has no place which all paths meet, as far as pairs of characters tell."""
-        found = self.remembered.get(part)
-        if found is None:
-            found = tuple(itertools.chain.from_iterable((self.ids[p],) if p in self.ids else itertools.chain.from_iterable(map(self.fallback, p)) for p in self.path(part)))
-            if len(part) <= 64:
-                self.remembered[part] = found
-        return found
-
-    def _part(self, part: str) -> tuple[int, ...]:
-        if len(self.remembered) >= REMEMBERED:
-            self.remembered.clear()
-        together = self.together
-        cuts = [k for k, pair in enumerate(map("".join, itertools.pairwise(part)), 1) if pair not in together]
-        if not cuts:
-            return self._uncut(part)
-        found = tuple(itertools.chain.from_iterable(self._uncut(part[a:b]) for a, b in itertools.pairwise([0, *cuts, len(part)])))
+        ids = itertools.chain.from_iterable((self.ids[p],) if p in self.ids else itertools.chain.from_iterable(map(self.fallback, p)) for p in self.path(part))
+        return array("i", ids).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        """Ids of a part. What hasn't been met among the last REMEMBERED new parts is forgotten."""
+        found = self.remembered.get(part) or self.older.get(part)
+        if not found:
+            cuts = [k for k, pair in enumerate(map("".join, itertools.pairwise(part)), 1) if pair not in self.together]
+            found = b"".join(self._part(part[a:b]) for a, b in itertools.pairwise([0, *cuts, len(part)])) if cuts else self._uncut(part)
         if len(part) <= 64:
+            if len(self.remembered) >= REMEMBERED:
+                self.remembered, self.older = {}, self.remembered
             self.remembered[part] = found
         return found
 
+    def encoded(self, text: str) -> bytes:
+        """Token ids of text as 32-bit numbers."""
+        parts = self.parts.findall(self.normalised(text))
+        found = list(map(self.remembered.get, parts))
+        if None in found:
+            found = [self._part(p) if x is None else x for p, x in zip(parts, found, strict=True)]
+        return b"".join(found)
+
     def encode(self, text: str) -> list[int]:
-        known = self.remembered
-        return list(itertools.chain.from_iterable([known[p] if p in known else self._part(p) for p in self.parts.findall(self.normalised(text))]))
+        return array("i", self.encoded(text)).tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that aren't UTF-8 become U+FFFD."""
@@ -306,16 +310,11 @@ def encoded(docs: DataFrame, model_path: str, text: str = "text", keep: tuple[st
         model = load(model_path)
         for batch in slices(batches, "__text__", 2 << 20):
             texts = ["" if t is None else t for t in batch.column("__text__").to_pylist()]
-            flat, ends, exact = array("i"), [0], []
-            for t in texts:
-                found = model.encode(t)
-                flat.extend(found)
-                ends.append(len(flat))
-                if check:
-                    exact.append(model.decode(found) == _plain(model, t))
-            columns = [*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, dtype=np.int32)))]
+            found = [model.encoded(t) for t in texts]
+            ends = np.cumsum([0, *(len(x) // 4 for x in found)])
+            columns = [*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), dtype=np.int32)))]
             if check:
-                columns.append(pa.array(exact, pa.bool_()))
+                columns.append(pa.array([model.decode(array("i", x).tolist()) == _plain(model, t) for x, t in zip(found, texts, strict=True)], pa.bool_()))
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, ids, *[check] * bool(check)])
 
     kept = [F.col(f"`{c}`") for c in keep]
