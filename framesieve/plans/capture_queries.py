@@ -6,12 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.similarity import rounded
 from ..operators import runs, summaries
 from . import views
 
-_R6 = "floor({0} * 1e6 + 0.5) / 1e6"
-
 
 def _r6(c) -> F.Column:
     return F.floor(c * 1e6 + 0.5) / 1e6

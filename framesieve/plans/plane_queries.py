@@ -67,9 +67,8 @@ def streaming_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of each event type, run as a stream over the table to its end."""
     name = f"sessions_{abs(hash((sf_dir, id(spark)))) % 10**9}"
     source = spark.readStream.schema(views.table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").load(sf_dir)
-    events = source.select(F.col("ts").cast("timestamp").alias("ts"), "event_type").withWatermark("ts", "2 hours")
-    window = F.session_window("ts", "30 minutes")
-    counts = events.groupBy(window, "event_type").agg(F.count(F.lit(1)).alias("n")).select("event_type", F.col("session_window.start").alias("start"), "n")
+    events = source.select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    counts = feeds.session_counts(events, by=["event_type"])
     folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
     query = counts.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{folder.rstrip('/')}/{name}-{id(counts)}").start()
     try:
@@ -95,4 +94,3 @@ ORACLES = {
     "streaming_sessions": "WITH e AS (SELECT event_type, ts, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 1800000000 THEN 1 ELSE 0 END AS s FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)), n AS (SELECT event_type, ts, sum(s) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT event_type, epoch_us(min(ts)) AS start, count(*) AS n FROM n GROUP BY event_type, k",
     "overlay_manifest": f"WITH {views.CAPTURES} SELECT id, CASE id % 4 WHEN 1 THEN 'B' WHEN 2 THEN 'C' ELSE 'A' END AS family, CASE WHEN user_id % 2 = 0 THEN 'canon.png' ELSE 'default.png' END AS logo, CASE WHEN id % 4 <> 1 THEN floor(focal)::BIGINT::VARCHAR || 'mm' || CASE WHEN lens IS NULL THEN '' ELSE '  ' || lens END || '  ' || camera END AS line FROM captures",
 }
-assert feeds

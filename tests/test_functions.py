@@ -1,7 +1,6 @@
 """Fixed results of hashes, similarities, rules and texts."""
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from framesieve.functions import hashes, kernels, quality, similarity, text, vectors
