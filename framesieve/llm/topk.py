@@ -1,6 +1,7 @@
 """Exact top-k by inner product: vectors by descending length, rotated partial sums, Cauchy-Schwarz bounds.
 
-Candidates are stored by descending length. The eigenvectors of their Gram matrix (the right singular
+Candidates are stored by descending length, so that those of a chunk are about as long; results don't depend on it, as
+Spark reads files again in an order of its own. The eigenvectors of their Gram matrix (the right singular
 vectors of the whole matrix) rotate vectors so that the first components hold most of their length.
 With the partial sum over these, and the lengths of what is left, a pair's score is bounded; only pairs whose
 bound reaches the query's k-th best score so far are computed, in whole numbers. Queries go in blocks of
@@ -124,13 +125,13 @@ class _Best:
         return self.held[0]
 
 
-def _chunk(best: _Best, ids: np.ndarray, q: dict, vec_ids: np.ndarray, v: np.ndarray, norms: np.ndarray, r: np.ndarray, head: int) -> np.ndarray:
-    """Adds what q's active queries (ids) find among v, whose rows are by descending norm; returns the queries still active."""
+def _chunk(best: _Best, q: dict, vec_ids: np.ndarray, v: np.ndarray, norms: np.ndarray, r: np.ndarray, head: int) -> None:
+    """Adds what q's queries find among v, whose rows may be in any order."""
     with np.errstate(all="ignore"):
-        # No later vector is longer: a query that the longest can't serve is done.
-        ids = ids[~(q["norm"][ids] * norms[0] * (1 + SLACK) < best.floor[ids])]
+        # Queries that the longest of these can't serve; later chunks may hold longer ones.
+        ids = np.flatnonzero(~(q["norm"] * norms.max(initial=0) * (1 + SLACK) < best.floor))
         if not len(ids):
-            return ids
+            return
         turned = v @ r
         rest = np.sqrt((turned[:, head:] ** 2).sum(1))
         bound = q["turned"][ids, :head] @ turned[:, :head].T + q["rest"][ids, None] * rest
@@ -148,24 +149,17 @@ def _chunk(best: _Best, ids: np.ndarray, q: dict, vec_ids: np.ndarray, v: np.nda
         high = score >= best.floor[x]
         best.add(x[high], score[high], vec_ids[y[high]])
     best.cut()
-    return ids
 
 
 def _search(shared, k: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = shared.value
-        best, ids, r, head = _Best(q["floor"], k), np.arange(len(q["vec_id"])), q["rotation"], q["head"]
+        best, r, head = _Best(q["floor"], k), q["rotation"], q["head"]
         for batch in batches:
             for a in range(0, batch.num_rows, CHUNK):
                 b = batch.slice(a, CHUNK)
                 v = _matrix(b.column("v").to_pylist(), b.column("size").to_pylist(), width)
-                ids = _chunk(best, ids, q, b.column("vec_id").to_numpy(), v, b.column("norm").to_numpy(), r, head)
-                if not len(ids):
-                    break
-            if not len(ids):
-                break
-        for _ in batches:  # what can't matter is still read to the end
-            pass
+                _chunk(best, q, b.column("vec_id").to_numpy(), v, b.column("norm").to_numpy(), r, head)
         at, score, vec_id = best.cut()
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(q["vec_id"][at]), pa.array(q["number"][at]), pa.array(vec_id), pa.array(score)], names=["query_id", "query", "vec_id", "score"])
@@ -217,7 +211,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id"
         q |= {"rotation": turn, "head": head, "floor": np.full(len(part), -np.inf)}
         first = _Best(q["floor"], k)
         for a in range(0, len(seeds), CHUNK):
-            _chunk(first, np.arange(len(part)), q, seed_ids[a : a + CHUNK], seed[a : a + CHUNK], np.array([r["norm"] for r in seeds[a : a + CHUNK]]), turn, head)
+            _chunk(first, q, seed_ids[a : a + CHUNK], seed[a : a + CHUNK], np.array([r["norm"] for r in seeds[a : a + CHUNK]]), turn, head)
         # Candidates that reach the k-th best of the longest vectors are found again among all.
         q["floor"] = first.floor
         shared = spark.sparkContext.broadcast(q)

@@ -38,3 +38,27 @@ def test_few_and_no_rows(spark):
     few = spark.createDataFrame([(0, [1.0], 0, ""), (20, [0.5], 0, ""), (3, [-1.0], 0, "")], SCHEMA)
     assert sorted(map(tuple, topk.top_k(few, F.col("vec_id") % 20 == 0).collect())) == [(0, 1, 20, 2048), (0, 2, 3, -4096), (20, 1, 0, 2048), (20, 2, 3, -2048)]
     assert topk.top_k(few.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_longer_vectors_after_shorter_ones(spark, monkeypatch):
+    """Files come back largest first, many to a task; here the shortest vectors have the most components and so the largest files."""
+    monkeypatch.setattr(topk, "CHUNK", 16)
+    monkeypatch.setattr(topk, "SEEDS", 24)
+    rng = random.Random(11)
+    rows = []
+    for i in range(1600):
+        length, width = 40 * 0.995**i, 2 + i // 40
+        v = [rng.gauss(0, 1) for _ in range(width)]
+        by = length / math.sqrt(sum(x * x for x in v))
+        rows.append((i, [round(1024 * by * x) / 1024 for x in v]))
+    table = spark.createDataFrame([(k, v, 1, "x") for k, v in rows], SCHEMA).repartition(8)
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.openCostInBytes": "1", "spark.sql.files.minPartitionNum": "2"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        got = sorted(map(tuple, topk.top_k(table, F.col("vec_id") % 20 == 0).collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == brute(rows)
