@@ -4,8 +4,10 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from framesieve.operators import archive, components, knockout, linkage, pairs, runs
+from framesieve.plans import pair_queries, views
 
 
 def plain_linkage(ids, close, forced):
@@ -142,3 +144,20 @@ def test_archive(spark, tmp_path):
     assert [(r["src"], r["failure"]) for r in undo][0] == ("losers/b.jpg", "target missing") and undo[1]["dst"] == "y/a.CR2"
     after = archive.committed(images.select("path"), plan).collect()
     assert sorted(r["path"] for r in after) == ["losers/b.jpg", "winners/a_1.jpg", "winners/a_3.jpg", "x/c.jpg", "x/d.jpg"]
+
+
+def test_near_pairs_cross_slots(spark):
+    rows = [(i, "s", t) for i, t in enumerate([0.0, 599.0, 601.0, 1201.0, 2399.0, 2401.0, 4199.5, 4202.0, None, -1.0])] + [(20, "r", 600.0), (21, "r", None)]
+    table = spark.createDataFrame(rows, "id long, k string, ts double")
+    want = [(a, b) for a, k, s in rows for b, m, t in rows if a < b and k == m and (s is None or t is None or abs(s - t) <= 600)]
+    got = pairs.near_pairs(table, ["k"], 600.0).select("a.id", F.col("b.id").alias("j")).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_registered_linkage_takes_whole_sessions(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = runs.sessions(views.captures(spark, sf))
+    whole = pairs.fast_pairs(rows, ["segment_id"]).filter("dist <= 0.46")
+    tied = runs.forced_groups(rows, runs.burst_runs(views.bursts(spark, sf))).select("id", F.concat_ws(":", "segment_id", "prefix", "run_id").alias("run"))
+    want = linkage.groups(rows.withColumn("t", F.col("ts")), whole, tied, 0.46, 20).collect()
+    assert sorted(map(tuple, pair_queries.complete_linkage_forced(spark, sf).collect())) == sorted(map(tuple, want))
