@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,20 +16,39 @@ from ..streaming import feeds
 from . import views
 
 
-def _planes32(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = views.table(spark, sf_dir, "documents").filter(F.char_length("text") >= 1024)
-    return d.select("doc_id", F.substring("text", 1, 1024).alias("head"))
+#: Planes in a batch of results.
+PLANES = 4096
 
 
-def phash_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Perceptual and wavelet hashes of 32 x 32 planes: the first 1024 characters' codes."""
+def planes32(text: str) -> np.ndarray:
+    """The codes of all characters (modulo 256) as 32 x 32 planes in order, the last filled with zeros; an empty text is one plane."""
+    codes = (np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4") % 256).astype(np.uint8)
+    return np.pad(codes, (0, -len(codes) % 1024 if len(codes) else 1024)).reshape(-1, 32, 32)
+
+
+def _of_planes(docs: DataFrame, each: Callable[[np.ndarray], tuple], columns: str) -> DataFrame:
+    """(doc_id, plane, and what each gives) of every plane of every text; a null text has none."""
+    schema = f"doc_id long, plane long, {columns}"
+    names = ["doc_id", "plane", *[c.split()[0] for c in columns.split(", ")]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = []
         for b in batches:
-            planes = [np.array([ord(c) % 256 for c in t]).reshape(32, 32) for t in b["head"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "phash": [kernels.perceptual_hash(p) for p in planes], "whash": [kernels.wavelet_hash(p) for p in planes]})
+            for doc_id, t in zip(b["doc_id"], b["text"], strict=True):
+                for k, p in enumerate(planes32(t)):
+                    out.append((doc_id, k, *each(p)))
+                    if len(out) == PLANES:
+                        yield pd.DataFrame(out, columns=names)
+                        out = []
+        if out:
+            yield pd.DataFrame(out, columns=names)
 
-    return _planes32(spark, sf_dir).mapInPandas(run, "doc_id long, phash string, whash string")
+    return docs.filter(F.col("text").isNotNull()).select("doc_id", "text").mapInPandas(run, schema)
+
+
+def phash_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perceptual and wavelet hashes of all 32 x 32 planes of each text."""
+    return _of_planes(views.table(spark, sf_dir, "documents"), lambda p: (kernels.perceptual_hash(p.astype(np.int64)), kernels.wavelet_hash(p.astype(np.int64))), "phash string, whash string")
 
 
 def whash_luma8(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,19 +60,14 @@ def whash_luma8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def plane_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signals of grey pictures of 32 x 32 pixels from documents."""
+    """Signals of grey pictures of 32 x 32 pixels: all planes of each document."""
     names = ["mean", "contrast", "entropy", "blur_combined", "aniso", "noise", "range", "worst_dark"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for doc_id, t in b[["doc_id", "head"]].itertuples(index=False):
-                plane = np.array([ord(c) % 256 for c in t], dtype=np.uint8).reshape(32, 32, 1)
-                s = kernels.signals(np.repeat(plane, 3, axis=2))
-                out.append((doc_id, *[None if s[k] is None else float(np.floor(s[k] * 1e6 + 0.5) / 1e6) for k in names]))
-            yield pd.DataFrame(out, columns=["doc_id", *names])
-
-    return _planes32(spark, sf_dir).mapInPandas(run, ", ".join(["doc_id long", *[f"{k} double" for k in names]]))
+    def each(plane: np.ndarray) -> tuple:
+        s = kernels.signals(np.repeat(plane.reshape(32, 32, 1), 3, axis=2))
+        return tuple(None if s[k] is None else float(np.floor(s[k] * 1e6 + 0.5) / 1e6) for k in names)
+
+    return _of_planes(views.table(spark, sf_dir, "documents"), each, ", ".join(f"{k} double" for k in names))
 
 
 def box_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from framesieve.functions import hashes, kernels, quality, similarity, text, vectors
+from framesieve.plans import plane_queries
 
 
 def one(spark, *columns):
@@ -119,3 +120,15 @@ def test_kernels():
     assert kernels.oriented(np.arange(6).reshape(2, 3), 6).tolist() == [[3, 0], [4, 1], [5, 2]]
     grown = kernels.bilinear(np.array([[0.0, 2.0]]), 4, 1)
     assert np.allclose(grown, [[-0.5, 0.5, 1.5, 2.0]])
+
+
+def test_planes_hold_whole_texts(spark, tmp_path):
+    texts = ["x" * 1500 + "y" * 1000, "short \u4e16\U0001f600", "", None, "z" * 1024]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    codes = [ord(c) % 256 for c in texts[0]] + [0] * 572
+    assert plane_queries.planes32(texts[0]).reshape(-1).tolist() == codes
+    assert plane_queries.planes32(texts[1]).reshape(-1).tolist() == [ord(c) % 256 for c in texts[1]] + [0] * (1024 - len(texts[1]))
+    hashes_of = {(r["doc_id"], r["plane"]): r["phash"] for r in plane_queries.phash_docs(spark, str(tmp_path)).collect()}
+    signals_of = {(r["doc_id"], r["plane"]): r["mean"] for r in plane_queries.plane_signals(spark, str(tmp_path)).collect()}
+    assert set(hashes_of) == set(signals_of) == {(0, 0), (0, 1), (0, 2), (1, 0), (2, 0), (4, 0)}
+    assert hashes_of[0, 1] == kernels.perceptual_hash(np.array(codes[1024:2048]).reshape(32, 32))
