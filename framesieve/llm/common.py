@@ -5,13 +5,14 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows and bytes up to which a table may be broadcast; beyond either, a shuffled join is used.
 BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 8 << 20
@@ -57,8 +58,9 @@ def stored(df: DataFrame, name: str, codec: str = "zstd", **options: str) -> Dat
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+def maybe_broadcast(df: DataFrame, rows: int | None = None, size: int | None = None) -> DataFrame:
     """Marks df for a broadcast if its rows and bytes, measured here, are few; df has to be stored already."""
+    rows, size = BROADCAST_ROWS if rows is None else rows, BROADCAST_BYTES if size is None else size
     text = [F.coalesce(F.length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 16 for c in df.columns]
     total = text[0]
     for c in text[1:]:
@@ -67,15 +69,36 @@ def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROAD
     return F.broadcast(df) if n <= rows and width <= size else df
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """A column name starting with name that df doesn't have."""
-    taken = {c.lower() for c in df.columns}
+def dealt_join(left: DataFrame, right: DataFrame, on: Column, spread: Column, how: str = "inner", salts: int = 32) -> DataFrame:
+    """left joined with right, of which it has one row a key at most, however many rows of left have one key.
+
+    A small right side, counted here, is broadcast; else its rows are repeated for each of ``salts`` shares into which
+    ``spread``, a column of left, deals left's rows. right has to be stored already.
+    """
+    marked = maybe_broadcast(right)
+    if marked is not right:
+        return left.join(marked, on, how)
+    both = [*left.columns, *right.columns]
+    own, other = fresh(both, "__salt__"), fresh(both, "__deal__")
+    dealt = left.withColumn(own, F.pmod(F.xxhash64(spread), F.lit(salts)))
+    wide = right.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return dealt.join(wide, on & (F.col(own) == F.col(other)), how).drop(own, other)
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all of a row's columns."""
+    return F.xxhash64(*[F.to_json(F.col(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema])
+
+
+def fresh(df: DataFrame | list[str], name: str) -> str:
+    """A column name starting with name that df, or a list of names, doesn't have."""
+    taken = {c.lower() for c in (df if isinstance(df, list) else df.columns)}
     while name.lower() in taken:
         name += "_"
     return name
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, budget: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str | int, budget: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that each has about budget bytes of column at most, or one row."""
     for batch in batches:
         if not batch.num_rows:
@@ -90,6 +113,24 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, budget: int = 8 << 20
             start = end
 
 
+def mapped(docs: DataFrame, keep: Sequence[str], column: str, each: Callable[[Iterator[pa.RecordBatch]], Iterator[list[pa.Array]]], added: Sequence[tuple[str, T.DataType | str]]) -> DataFrame:
+    """docs' columns ``keep`` and the added ones that each makes of batches of ``keep`` and ``column``, in this order.
+
+    Within, columns go by their places alone, so that their names may be anything.
+    """
+    source = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate([*keep, column])])
+    schema = T.StructType(source.schema.fields[: len(keep)])
+    for k, (_, kind) in enumerate(added):
+        schema = schema.add(f"x{k}", kind)
+    names = list(schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for arrays in each(batches):
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return source.mapInArrow(run, schema).toDF(*keep, *[name for name, _ in added])
+
+
 def raw_texts(column: pa.Array) -> list[bytes | None]:
     """UTF-8 of each text, without decoding it."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, stored
+from .common import dealt_join, fresh, maybe_broadcast, stored
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Bits of the hash, and bits by which each pass refines it.
@@ -79,7 +79,7 @@ def mix_plan(docs: DataFrame, text: str = "text", source: str = "source", key: s
     full, threshold): a document is taken ``full`` times, and once more if its hash is at most the threshold
     (-1: none). Thresholds end where the taken size comes nearest to the target.
     """
-    slim = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), id_hash(F.col(key)).alias("hash"))
+    slim = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("source"), n_words(F.col(f"`{text}`")).alias("size"), id_hash(F.col(f"`{key}`")).alias("hash"))
     slim = stored(slim, "mix")
     targets = source_targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeats)
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(repeats))).otherwise(0).cast("long")
@@ -98,7 +98,7 @@ def mix_plan(docs: DataFrame, text: str = "text", source: str = "source", key: s
 def mixed(slim: DataFrame, thresholds: DataFrame) -> DataFrame:
     """slim with its source's columns and ``copies``, the number of times the mix takes the row."""
     t = thresholds.withColumnRenamed("source", "s")
-    joined = slim.join(maybe_broadcast(t), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    joined = dealt_join(slim, t, F.col("source").eqNullSafe(F.col("s")), F.col("hash")).drop("s")
     return joined.withColumn("copies", F.col("full") + (F.col("hash") <= F.col("threshold")).cast("long"))
 
 
@@ -113,11 +113,14 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", key
 
 
 def take_mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights: Sequence[float] = WEIGHTS, repeats: int = MOST_REPEATS) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it, with docs' columns only."""
+    """The rows of docs, each as often as the mix takes it, with docs' columns only, whatever their names.
+
+    A null text has no words; a row of a source without words isn't taken. Copies of a row are alike in all columns.
+    """
     _, thresholds = mix_plan(docs, text, source, key, weights, repeats)
-    names = docs.columns
-    t = maybe_broadcast(thresholds.select(F.struct("source", "full", "threshold").alias("__mix__")))
-    joined = docs.join(t, docs[source].eqNullSafe(F.col("__mix__.source")))
-    copies = F.col("__mix__.full") + (id_hash(docs[key]) <= F.col("__mix__.threshold")).cast("long")
-    again = F.explode(F.sequence(F.lit(1).cast("long"), copies))
-    return joined.filter(copies > 0).withColumn("__copy__", again).select(*[F.col(f"`{c}`") for c in names])
+    own, again = fresh(docs, "__mix__"), fresh(docs, "__copy__")
+    t = thresholds.select(F.struct("source", "full", "threshold").alias(own))
+    joined = dealt_join(docs, t, F.col(f"`{source}`").eqNullSafe(F.col(f"{own}.source")), F.col(f"`{key}`"))
+    copies = F.col(f"{own}.full") + (id_hash(F.col(f"`{key}`")) <= F.col(f"{own}.threshold")).cast("long")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return joined.filter(copies > 0).withColumn(again, F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(*names)

@@ -18,10 +18,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_texts, slices, stored
+from .common import dealt_join, fresh, mapped, maybe_broadcast, raw_texts, row_hash, slices, stored
 
 SEED, SHINGLE, BUDGET = 42, 4, 4
 #: Fingerprints that two nodes may hold together before they are dealt by longer prefixes, and the usual number.
@@ -30,6 +30,8 @@ MOST_IN_UNIT, USUAL_IN_NODE = 1 << 20, 1 << 14
 FIRST_BITS, MORE_BITS = (4, 16), 8
 #: Node pairs with so few fingerprint pairs are compared outright; pairs compared, and nodes held, at a time.
 LEAF_PAIRS, AT_ONCE = 64, 1 << 20
+#: Rows and bytes of the rows to drop up to which they are broadcast; beyond, they are joined by their hashes.
+MARKED = (1_000_000, 64 << 20)
 _U = np.uint64
 
 
@@ -79,13 +81,11 @@ def _vote(pending: list[tuple[int, list[int]]], out: np.ndarray) -> None:
 def with_fingerprint(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(keep..., fp): the fingerprint of each whole text as a signed long."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__text__", 4 << 20):
-            fp = fingerprints(raw_texts(batch.column("__text__")), shingle).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fp)], names=[*keep, "fp"])
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
+        for batch in slices(batches, len(keep), 4 << 20):
+            yield [*batch.columns[:-1], pa.array(fingerprints(raw_texts(batch.column(len(keep))), shingle).view(np.int64))]
 
-    kept = [F.col(f"`{c}`") for c in keep]
-    return docs.select(*kept, F.col(f"`{text}`").alias("__text__")).mapInArrow(run, docs.select(*kept).schema.add("fp", "long"))
+    return mapped(docs, keep, text, each, [("fp", "long")])
 
 
 # --- the traversal, within one task -------------------------------------------------------------------------
@@ -312,10 +312,14 @@ def _grouped(slim: DataFrame, key: str, total: int) -> DataFrame:
     """slim, which is stored, with ``root`` (a fingerprint that names the component) and ``component`` (its smallest key)."""
     distinct = stored(slim.groupBy("fp").agg(F.min(F.col(f"`{key}`")).alias("first")), "simhash-distinct")
     roots = components(near_links(distinct.select("fp"), total))
-    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
-    least = named.groupBy("root").agg(F.min("first").alias("component"))
-    of = named.join(least, "root").select(F.col("fp").alias("__fp__"), "root", "component")
-    return slim.join(of, slim["fp"] == F.col("__fp__")).drop("__fp__")
+    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "root", "first")
+    linked = stored(named.filter("root IS NOT NULL"), "simhash-linked")
+    # One component may hold most fingerprints: its smallest key comes to each of them without a task that holds them all.
+    least = stored(linked.groupBy(F.col("root").alias("of")).agg(F.min("first").alias("component")), "simhash-least")
+    of = dealt_join(linked, least, F.col("root") == F.col("of"), F.col("fp")).select("fp", "root", "component")
+    of = of.unionByName(named.filter("root IS NULL").select("fp", F.col("fp").alias("root"), F.col("first").alias("component")))
+    of = stored(of.withColumnRenamed("fp", "__fp__"), "simhash-components")
+    return dealt_join(slim, of, F.col("fp") == F.col("__fp__"), F.col(f"`{key}`")).drop("__fp__")
 
 
 def simhash_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", total: int = BUDGET, shingle: int = SHINGLE) -> DataFrame:
@@ -325,8 +329,9 @@ def simhash_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", tot
     fingerprints and are linked; rows with one key and different texts are linked by their texts only. A null
     key is never the smallest unless all are null. An empty table gives an empty result; other columns are ignored.
     """
-    slim = stored(with_fingerprint(docs, text, shingle, (key,)), "simhash")
-    return _grouped(slim, key, total).select(F.col(f"`{key}`"), "fp", "component")
+    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    slim = stored(with_fingerprint(rows, "text", shingle, ("key",)), "simhash")
+    return _grouped(slim, "key", total).select(F.col("key").alias(key), "fp", "component")
 
 
 def hex_fingerprint(fp: str) -> Column:
@@ -334,14 +339,23 @@ def hex_fingerprint(fp: str) -> Column:
 
 
 def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", total: int = BUDGET, shingle: int = SHINGLE) -> DataFrame:
-    """docs' rows, one of each component: one with the smallest key (null last), as docs' columns."""
-    names = docs.columns
-    row_key = F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))
-    row_hash = F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`"))
-    rows = docs.select(F.col(f"`{text}`").alias("text"), F.struct(F.col(f"`{key}`").isNull().alias("none"), F.col(f"`{key}`").alias("key"), row_key.alias("k"), row_hash.alias("h")).alias("id"))
-    slim = stored(with_fingerprint(rows, "text", shingle, ("id",)), "simhash")
-    kept = _grouped(slim, "id", total).filter(F.col("id") == F.col("component")).select(F.col("id.k").alias("__k__"), F.col("id.h").alias("__h__")).distinct()
-    joined = docs.withColumns({"__k__": row_key, "__h__": row_hash}).join(kept, ["__k__", "__h__"], "left_semi")
-    # Rows that agree in key and text are the same document.
-    once = joined.withColumn("__n__", F.row_number().over(Window.partitionBy("__k__", "__h__").orderBy("__h__")))
-    return once.filter("__n__ = 1").select(*[F.col(f"`{c}`") for c in names])
+    """docs' rows, one of each component: one with the smallest key (null last), as docs' columns.
+
+    Of rows that share key and text but not the rest, the one with the least hash of all columns stays, and of rows that are
+    equal in all columns, one; so a rerun keeps the same. Null and blank texts are one component. An empty table gives an empty one;
+    column names may be anything.
+    """
+    own, least = F.col(f"`{key}`"), row_hash(docs)
+    other = F.xxhash64(F.lit(1), least, own.cast("string"), F.col(f"`{text}`"))
+    order = F.struct(own.isNull().alias("none"), own.alias("key"), least.alias("h"), other.alias("g"))
+    slim = stored(with_fingerprint(docs.select(order.alias("id"), F.col(f"`{text}`").alias("text")), "text", shingle, ("id",)), "simhash")
+    rows = _grouped(slim, "id", total).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.first("component").alias("component"))
+    h, g, drop_h, drop_g = (fresh(docs, name) for name in ("__row__", "__other__", "__drop_row__", "__drop_other__"))
+    # The rows to drop, and the few kept ones that occur more than once, are found by their hashes.
+    marked = stored(rows.filter("n > 1 OR id <> component").select(F.col("id.h").alias(drop_h), F.col("id.g").alias(drop_g), (F.col("id") == F.col("component")).alias("again")), "simhash-drop")
+    hashed = docs.withColumns({h: least, g: other})
+    same = (F.col(h) == F.col(drop_h)) & (F.col(g) == F.col(drop_g))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    once = hashed.join(maybe_broadcast(marked.select(drop_h, drop_g), *MARKED), same, "left_anti")
+    again = hashed.join(maybe_broadcast(marked.filter("again").select(drop_h, drop_g), *MARKED), same, "left_semi").dropDuplicates([h, g])
+    return once.unionByName(again).select(*names)

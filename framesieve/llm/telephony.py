@@ -10,18 +10,21 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_texts, slices, stored
+from .common import mapped, raw_texts, slices, stored
 
 RATE = 8_000
 #: WAVE format tags.
 PCM, ALAW, MULAW, IMA_ADPCM = 1, 6, 7, 17
 UNIT = 64
+#: Samples of a mono ADPCM block of 64 bytes.
+ADPCM_SAMPLES = 2 * (64 - 4) + 1
 #: Fixed values of IMA ADPCM.
 ADPCM_INDEX = np.array([-1, -1, -1, -1, 2, 4, 6, 8], dtype=np.int32)
 ADPCM_STEPS = np.array([
@@ -81,18 +84,30 @@ def upsample2(pcm: np.ndarray) -> np.ndarray:
     return out
 
 
-def wav(tag: int, data: bytes, rate: int = RATE, bits: int = 8) -> bytes:
-    """A mono WAV file."""
-    align = 4 + 60 if tag == IMA_ADPCM else bits // 8
-    extra = struct.pack("<HH", 2, 2 * (align - 4) + 1) if tag == IMA_ADPCM else b"" if tag == PCM else struct.pack("<H", 0)
-    per_second = rate * align // (2 * (align - 4) + 1) if tag == IMA_ADPCM else rate * align
-    form = struct.pack("<HHIIHH", tag, 1, rate, per_second, align, 4 if tag == IMA_ADPCM else bits) + extra
+def wav(tag: int, data: bytes, rate: int = RATE, bits: int = 8, channels: int = 1) -> bytes:
+    """A WAV file; ADPCM blocks are 64 bytes a channel."""
+    align = 64 * channels if tag == IMA_ADPCM else bits // 8 * channels
+    extra = struct.pack("<HH", 2, ADPCM_SAMPLES) if tag == IMA_ADPCM else b"" if tag == PCM else struct.pack("<H", 0)
+    per_second = rate * align // ADPCM_SAMPLES if tag == IMA_ADPCM else rate * align
+    form = struct.pack("<HHIIHH", tag, channels, rate, per_second, align, 4 if tag == IMA_ADPCM else bits) + extra
     body = b"WAVEfmt " + struct.pack("<I", len(form)) + form + b"data" + struct.pack("<I", len(data)) + data + b"\0" * (len(data) & 1)
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
-def parse_wav(media: bytes) -> tuple[int, int, int, bytes]:
-    """(format tag, rate, block width, data) of a WAV file."""
+@dataclass(frozen=True)
+class Wav:
+    """What a WAV file says of itself, and its samples' bytes."""
+
+    tag: int
+    channels: int
+    rate: int
+    width: int
+    bits: int
+    data: bytes
+
+
+def parse_wav(media: bytes) -> Wav:
+    """The parts of a WAV file; ValueError or struct.error where it isn't one."""
     if media[:4] != b"RIFF" or media[8:12] != b"WAVE":
         raise ValueError("not a WAV file")
     at, form = 12, None
@@ -101,24 +116,46 @@ def parse_wav(media: bytes) -> tuple[int, int, int, bytes]:
         if name == b"fmt ":
             form = struct.unpack_from("<HHIIHH", media, at + 8)
         elif name == b"data" and form:
-            return form[0], form[2], form[4], media[at + 8 : at + 8 + size]
+            tag, channels, rate, _, width, bits = form
+            if not channels or not rate or not width:
+                raise ValueError("no channels, no rate or no block width")
+            return Wav(tag, channels, rate, width, bits, media[at + 8 : at + 8 + size])
         at += 8 + size + (size & 1)
     raise ValueError("the WAV file has no data")
 
 
 def to_pcm(media: bytes) -> tuple[int, np.ndarray]:
-    """(rate, int16 samples) of a mono WAV file in any of the four formats."""
-    tag, rate, width, data = parse_wav(media)
-    codes = np.frombuffer(data, dtype=np.uint8)
-    if tag == MULAW:
-        return rate, MULAW_PCM[codes]
-    if tag == ALAW:
-        return rate, ALAW_PCM[codes]
-    if tag == IMA_ADPCM:
-        return rate, decode_adpcm(codes[: len(codes) // width * width].reshape(-1, width)).reshape(-1)
-    if tag == PCM and width == 2:
-        return rate, codes[: len(codes) // 2 * 2].view("<i2")
-    raise ValueError(f"unknown format {tag}")
+    """(rate, int16 samples, a row a frame and a column a channel) of a WAV file in any of the four formats; a cut-off end is left out."""
+    w = parse_wav(media)
+    codes = np.frombuffer(w.data, dtype=np.uint8)
+
+    def frames(samples: np.ndarray) -> np.ndarray:
+        return samples[: len(samples) // w.channels * w.channels].reshape(-1, w.channels)
+
+    if w.tag == MULAW and w.bits == 8:
+        return w.rate, frames(MULAW_PCM[codes])
+    if w.tag == ALAW and w.bits == 8:
+        return w.rate, frames(ALAW_PCM[codes])
+    if w.tag == IMA_ADPCM:
+        head = 4 * w.channels
+        if w.width < head or w.width % head:
+            raise ValueError("an ADPCM block has no whole number of words a channel")
+        n = len(codes) // w.width
+        # Words of four bytes go to the channels in turn: each channel's own are a mono block.
+        own = codes[: n * w.width].reshape(n, -1, w.channels, 4).transpose(0, 2, 1, 3).reshape(n * w.channels, -1)
+        return w.rate, decode_adpcm(own).reshape(n, w.channels, -1).transpose(0, 2, 1).reshape(-1, w.channels)
+    if w.tag == PCM and w.bits == 16:
+        return w.rate, frames(codes[: len(codes) // 2 * 2].view("<i2"))
+    if w.tag == PCM and w.bits == 8:
+        return w.rate, frames(((codes.astype(np.int16) - 128) << 8).astype(np.int16))
+    raise ValueError(f"unknown format {w.tag} with {w.bits} bits")
+
+
+def resampled(media: bytes) -> bytes:
+    """A WAV file of 16-bit PCM at twice the rate, with the same channels."""
+    rate, pcm = to_pcm(media)
+    out = np.stack([upsample2(np.ascontiguousarray(c)) for c in pcm.T], axis=1) if len(pcm) else pcm
+    return wav(PCM, out.astype("<i2").tobytes(), 2 * rate, 16, pcm.shape[1])
 
 
 def payload(text: bytes | None) -> bytes:
@@ -141,51 +178,65 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(t or b"") for t in texts], pa.int64()), media], names=["doc_id", "n_bytes", "media"])
 
 
+_DIGESTS = ("payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, alaw_crc32 long, adpcm_samples long, adpcm_crc32 long, pcm_bytes long, pcm_sha256 string")
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "media", 4 << 20):
-        rows = []
-        for media in batch.column("media").to_pylist():
-            data = parse_wav(media)[3]
-            rate, pcm = to_pcm(media)
-            rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature(upsample2(pcm), 2 * rate)))
-        columns = [pa.array(x, pa.int64() if k in (0, 2, 3) else pa.string()) for k, x in enumerate(zip(*rows, strict=True))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *columns], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+    names = [x.split()[0] for x in _DIGESTS.split(", ")]
+    for batch in slices(batches, "media", 2 << 20):
+        files = batch.column("media").to_pylist()
+        parsed = [parse_wav(m) for m in files]
+        # The payloads as ADPCM blocks of 64 bytes, those of all texts at once.
+        blocks = decode_adpcm(np.frombuffer(b"".join(w.data for w in parsed), dtype=np.uint8).reshape(-1, UNIT))
+        rows, at = [], 0
+        for media, w in zip(files, parsed, strict=True):
+            own, at = blocks[at : at + len(w.data) // UNIT], at + len(w.data) // UNIT
+            pcm = resampled(media)
+            rows.append((
+                len(w.data), hashlib.sha256(w.data).hexdigest(), zlib.crc32(w.data[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature(np.frombuffer(parse_wav(pcm).data, dtype="<i2"), 2 * w.rate),
+                zlib.crc32(ALAW_PCM[np.frombuffer(w.data, dtype=np.uint8)].tobytes()), own.size, zlib.crc32(own.tobytes()), len(pcm), hashlib.sha256(pcm).hexdigest(),
+            ))
+        columns = [pa.array(x, pa.string() if isinstance(x[0], str) else pa.int64()) for x in zip(*rows, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *columns], names=["doc_id", "n_bytes", *names])
 
 
 def store_media(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, n_bytes, media): each whole text, null as empty, as the samples of a mu-law WAV file."""
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(_store, f"doc_id {docs.select(key).schema[0].dataType.simpleString()}, n_bytes long, media binary")
+    return docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(_store, f"doc_id {_kind(docs, key)}, n_bytes long, media binary")
+
+
+def _kind(docs: DataFrame, key: str) -> str:
+    return docs.select(F.col(f"`{key}`")).schema[0].dataType.simpleString()
 
 
 def resampled_pcm(media: DataFrame, column: str = "media", out: str = "pcm") -> DataFrame:
-    """media with ``out`` in place of ``column``: a WAV file of 16-bit PCM at twice the rate.
+    """media with ``out`` in place of ``column`` (a column named ``out`` goes): a WAV file of 16-bit PCM at twice the rate.
 
-    Mu-law, A-law, IMA ADPCM and 16-bit PCM are read; a null stays null, and what isn't such a file gives null.
+    Mu-law, A-law, IMA ADPCM and PCM of 8 or 16 bits are read, with any number of channels; a null, and whatever isn't such a
+    file, gives null, a file without samples one without samples. Rows keep their number, an empty table gives an empty one.
     """
     kept = [c for c in media.columns if c not in (column, out)]
 
-    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, column, 2 << 20):
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
+        for batch in slices(batches, len(kept), 2 << 20):
             done = []
-            for x in batch.column(column).to_pylist():
+            for x in batch.column(len(kept)).to_pylist():
                 try:
-                    rate, pcm = to_pcm(x or b"")
-                    done.append(wav(PCM, upsample2(pcm).tobytes() if len(pcm) else b"", 2 * rate, 16))
+                    done.append(resampled(x or b""))
                 except (ValueError, struct.error):
                     done.append(None)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(done, pa.binary())], names=[*kept, out])
+            yield [*batch.columns[:-1], pa.array(done, pa.binary())]
 
-    schema = media.select(*[f"`{c}`" for c in kept]).schema.add(out, "binary")
-    return media.mapInArrow(convert, schema)
+    return mapped(media, kept, column, each, [(out, "binary")])
 
 
 def media_digests(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Stores every text as media in the shared folder, reads the stored bytes back and describes them.
 
-    doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature. Equal
-    texts give equal values, null is an empty text, repeated rows stay, an empty table gives no rows, and other
-    columns are ignored.
+    doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and feature (of the mu-law expansion, resampled
+    to 16-bit PCM); then the checksum of the payload's A-law expansion, the number and checksum of its samples as ADPCM blocks, and the size and
+    digest of the resampled file. Equal texts give equal values, null is an empty text, repeated rows stay, an empty table gives no rows,
+    and other columns are ignored.
     """
     table = stored(store_media(docs, text, key), "media", **{"parquet.enable.dictionary": "false", "parquet.block.size": str(16 << 20)})
-    kind = docs.select(key).schema[0].dataType.simpleString()
-    return table.mapInArrow(_read, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return table.mapInArrow(_read, f"doc_id {_kind(docs, key)}, n_bytes long, {_DIGESTS}")

@@ -150,7 +150,7 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer_path: str, text: str =
     """
     if encoding not in ("dictionary", "delta"):
         raise ValueError(f"unknown encoding: {encoding}")
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     # Ids first and a hash of the text next: rows that share a key can still be dealt out.
     order = [F.col("doc_id"), F.xxhash64("text")]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")

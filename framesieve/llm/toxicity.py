@@ -16,10 +16,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, slices
+from .common import mapped, maybe_broadcast, slices
 
 #: Labelled rows that a model is fitted on: about so many, chosen by a hash of their key; a fifth of them is held out.
 LABELLED_ROWS = 12_000
@@ -52,18 +52,15 @@ class Ordinal:
 
     def values(self, text: str | None, known: dict[str, tuple[int, ...]]) -> dict[int, float]:
         """Value of each selected feature that text has; known remembers the features of words."""
-        words = _words(text)
         counts: Counter = Counter()
-        for w in set(words):
+        for w, n in Counter(_words(text)).items():
             own = known.get(w)
             if own is None:
                 if len(known) >= REMEMBERED:
                     known.clear()
                 own = known[w] = tuple(self.features[h] for h in _features_of(w) if h in self.features)
-            if own:
-                n = words.count(w)
-                for k in own:
-                    counts[k] += n
+            for k in own:
+                counts[k] += n
         return {k: 1 + math.log(n) for k, n in counts.items()}
 
     def severity(self, x: dict[int, float]) -> float:
@@ -109,17 +106,14 @@ def fit_ordinal(rows: list[dict[int, float]], grades: np.ndarray, n_features: in
     return free[:n_features], np.cumsum(np.r_[free[n_features], np.exp(free[n_features + 1 :])])
 
 
-def _association(rows: list[tuple[int, int, int]], n_other: int, n_own: int) -> list[int]:
-    """Features by G squared of (feature, rows without the label, rows with it), highest first."""
-    total, kept = n_other + n_own, []
-    for feature, other, own in rows:
-        g = 0.0
-        for seen, of, both in ((other, n_other, other + own), (own, n_own, other + own), (n_other - other, n_other, total - other - own), (n_own - own, n_own, total - other - own)):
-            if seen > 0:
-                g += 2 * seen * math.log(seen * total / (of * both))
-        if g >= ASSOCIATION:
-            kept.append((-g, feature))
-    return [f for _, f in sorted(kept)[:FEATURES]]
+def _association(n_other: int, n_own: int) -> Column:
+    """G squared of a feature that n0 of n_other rows without the label and n1 of n_own rows with it have."""
+    total, both = n_other + n_own, F.col("n0") + F.col("n1")
+    cells = ((F.col("n0"), n_other, both), (F.col("n1"), n_own, both), (n_other - F.col("n0"), n_other, total - both), (n_own - F.col("n1"), n_own, total - both))
+    g = F.lit(0.0)
+    for seen, of, row in cells:
+        g = g + F.when(seen > 0, 2 * seen * F.log(seen * total / (of * row))).otherwise(0.0)
+    return g
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", rows: int = LABELLED_ROWS) -> Ordinal:
@@ -151,10 +145,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     n_own = sum(c for g, c in sizes.items() if g > 0)
     n_other = sum(sizes.values()) - n_own
     counts = labelled.filter("not held").mapInArrow(counted, "f long, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).filter(F.col("n0") + F.col("n1") >= LEAST_ROWS)
-    # Only features that are commoner with one label than without, by more than chance, come to the driver.
-    lift = (F.col("n1") / n_own - F.col("n0") / n_other) / F.sqrt((F.col("n0") + F.col("n1")) / (n_own + n_other) * (1 / n_own + 1 / n_other))
-    strong = counts.withColumn("z", F.abs(lift)).filter("z >= 4").orderBy(F.col("z").desc(), "f").limit(4 * FEATURES).collect()
-    chosen = _association([(r["f"], r["n0"], r["n1"]) for r in strong], n_other, n_own)
+    # All features are ranked before any is left out; at most FEATURES of them come to the driver.
+    strong = counts.withColumn("g", F.round(_association(n_other, n_own), 6)).filter(F.col("g") >= ASSOCIATION).orderBy(F.col("g").desc(), "f").limit(FEATURES)
+    chosen = [r["f"] for r in strong.collect()]
     if not chosen:
         return nothing
     model = Ordinal({f: k for k, f in enumerate(chosen)}, np.zeros(len(chosen)), np.zeros(0))
@@ -198,19 +191,20 @@ def scored(docs: DataFrame, model: Ordinal, text: str = "text", keep: tuple[str,
     """(keep..., severity, toxic) of each row; a null or empty text has no features."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         known: dict = {}
-        for batch in slices(batches, "__text__"):
-            s = [shared.value.severity(shared.value.values(t, known)) for t in batch.column("__text__").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s, pa.float64()), pa.array([v > shared.value.cut for v in s], pa.bool_())], names=[*keep, "severity", "toxic"])
+        for batch in slices(batches, len(keep)):
+            s = [shared.value.severity(shared.value.values(t, known)) for t in batch.column(len(keep)).to_pylist()]
+            yield [*batch.columns[:-1], pa.array(s, pa.float64()), pa.array([v > shared.value.cut for v in s], pa.bool_())]
 
-    kept = [F.col(f"`{c}`") for c in keep]
-    schema = docs.select(*kept).schema.add("severity", "double").add("toxic", "boolean")
-    return docs.select(*kept, F.col(f"`{text}`").alias("__text__")).mapInArrow(run, schema)
+    return mapped(docs, keep, text, each, [("severity", "double"), ("toxic", "boolean")])
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs' rows and columns but for rows that a model fitted on labels finds toxic."""
+    """docs' rows and columns, whatever their names, but for rows that a model fitted on labels finds toxic.
+
+    Null and empty texts stay, equal texts share their fate, rows keep their number; an empty table, or one without labels, stays as it is.
+    """
     names = docs.columns
     wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row__"), F.col(f"`{text}`").alias("__t__"))
     return scored(wide, fit(docs, labels, text, key), "__t__", ("__row__",)).filter(~F.col("toxic")).select("__row__.*")

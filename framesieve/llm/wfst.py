@@ -23,10 +23,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import mapped, slices
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -306,20 +305,18 @@ def encoded(docs: DataFrame, model_path: str, text: str = "text", keep: tuple[st
     A U+2581 in a text is a space to the model and is decoded as one. Rows keep their number.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         model = load(model_path)
-        for batch in slices(batches, "__text__", 2 << 20):
-            texts = ["" if t is None else t for t in batch.column("__text__").to_pylist()]
+        for batch in slices(batches, len(keep), 2 << 20):
+            texts = ["" if t is None else t for t in batch.column(len(keep)).to_pylist()]
             found = [model.encoded(t) for t in texts]
             ends = np.cumsum([0, *(len(x) // 4 for x in found)])
             columns = [*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), dtype=np.int32)))]
             if check:
                 columns.append(pa.array([model.decode(array("i", x).tolist()) == _plain(model, t) for x, t in zip(found, texts, strict=True)], pa.bool_()))
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, ids, *[check] * bool(check)])
+            yield columns
 
-    kept = [F.col(f"`{c}`") for c in keep]
-    schema = docs.select(*kept).schema.add(ids, T.ArrayType(T.IntegerType()))
-    return docs.select(*kept, F.col(f"`{text}`").alias("__text__")).mapInArrow(run, schema.add(check, "boolean") if check else schema)
+    return mapped(docs, keep, text, each, [(ids, T.ArrayType(T.IntegerType())), *[(check, "boolean")] * bool(check)])
 
 
 def _plain(model: Model, text: str) -> str:
@@ -330,11 +327,10 @@ def _plain(model: Model, text: str) -> str:
 def decoded(tokens: DataFrame, model_path: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """tokens' columns ``keep`` and the text of their ids; null ids give null."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         model = load(model_path)
         for batch in batches:
-            out = [None if x is None else model.decode(x) for x in batch.column("__ids__").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.string())], names=[*keep, text])
+            out = [None if x is None else model.decode(x) for x in batch.column(len(keep)).to_pylist()]
+            yield [*batch.columns[:-1], pa.array(out, pa.string())]
 
-    kept = [F.col(f"`{c}`") for c in keep]
-    return tokens.select(*kept, F.col(f"`{ids}`").alias("__ids__")).mapInArrow(run, tokens.select(*kept).schema.add(text, "string"))
+    return mapped(tokens, keep, ids, each, [(text, "string")])

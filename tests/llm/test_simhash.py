@@ -79,6 +79,19 @@ def test_groups_of_odd_rows(spark):
     assert simhash.simhash_groups(docs.limit(0)).count() == 0
 
 
+def test_kept_rows_are_the_same_in_any_order(spark, monkeypatch):
+    text = "the quick brown fox jumps over the lazy dog and runs far away into the deep dark wood tonight"
+    rows = [(1, text, lang, source, "k", {"a": 1}) for lang in ("de", "en", None) for source in ("x", "y")] * 2 + [(2, text, "en", "z", "k", None), (5, None, None, None, None, None), (4, " ", "q", "q", "q", None)] + [(9, "other words here", "en", "x", "k", {"b": 2})] * 3
+    schema = "`d.id` long, text string, __row__ string, __other__ string, __h__ string, m map<string,int>"
+    docs = spark.createDataFrame(rows, schema)
+    kept = [simhash.keep_first(d, key="d.id").collect() for d in (docs, spark.createDataFrame(rows[::-1], schema).repartition(7))]
+    assert sorted(map(str, kept[0])) == sorted(map(str, kept[1])) and sorted(r[0] for r in kept[0]) == [1, 4, 9] and kept[0][0].asDict().keys() == set(docs.columns)
+    monkeypatch.setattr(simhash, "MARKED", (0, 0))
+    monkeypatch.setattr("framesieve.llm.common.BROADCAST_ROWS", 0)
+    assert sorted(map(str, simhash.keep_first(docs, key="d.id").collect())) == sorted(map(str, kept[0]))
+    assert simhash.keep_first(docs.limit(0), key="d.id").count() == 0
+
+
 def test_query_matches_brute_force(spark):
     from framesieve.llm.queries import QUERIES
 
