@@ -106,14 +106,19 @@ def raw_score(s: dict[str, Column], flags: Column, p: Profile = STANDARD) -> Col
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), total - cost))
 
 
+def rejecting(flags: Column) -> Column:
+    """Whether one of the flags rejects on its own."""
+    return F.arrays_overlap(flags, F.array(*[F.lit(x) for x in REJECTING]))
+
+
 def rejects(flags: Column, score: Column, p: Profile = STANDARD) -> Column:
-    return F.arrays_overlap(flags, F.array(*[F.lit(x) for x in REJECTING])) | (score < p.least_score)
+    return rejecting(flags) | (score < p.least_score)
 
 
 def reject_reason(flags: Column, rejected: Column) -> Column:
-    """Message of the first flag in order of precedence; of the score alone if there's no flag; null if not rejected."""
+    """Message of the first flag in order of precedence; of the score if none of the flags rejects; null if not rejected."""
     named = F.coalesce(*[F.when(F.array_contains(flags, k), v) for k, v in REASONS.items()])
-    return F.when(rejected, F.coalesce(named, F.lit(LOW_SCORE_REASON)))
+    return F.when(rejected, F.when(rejecting(flags), named).otherwise(LOW_SCORE_REASON))
 
 
 def verdict(s: dict[str, Column], p: Profile = STANDARD) -> dict[str, Column]:
@@ -124,11 +129,26 @@ def verdict(s: dict[str, Column], p: Profile = STANDARD) -> dict[str, Column]:
     return {"flags": flags, "score": rounded(score, 3), "auto_reject": rejected, "reject_reason": reject_reason(flags, rejected)}
 
 
+def appended(flags: Column, *more: Column) -> Column:
+    """flags and those of more that aren't null and not yet there, in order."""
+    return F.array_union(flags, F.array_compact(F.array(*more)))
+
+
 def low_aesthetic(musiq: Column, clipiqa: Column, p: Profile = STANDARD) -> Column:
-    """Both scores below the profile's: flagged, rejected, eight points less."""
+    """Both scores below the profile's."""
     return _true((musiq < p.musiq) & (clipiqa < p.clipiqa))
 
 
+def with_aesthetic(v: dict[str, Column], musiq: Column, clipiqa: Column, p: Profile = STANDARD) -> dict[str, Column]:
+    """A verdict (flags, score, auto_reject, reject_reason) after the aesthetic rule: flagged, rejected, a reason if there's none, eight points less."""
+    flags = appended(v["flags"], F.when(low_aesthetic(musiq, clipiqa, p), "low_aesthetic"))
+    hit = F.array_contains(flags, "low_aesthetic")
+    return {
+        "flags": flags, "score": F.when(hit, F.greatest(v["score"] - 8, F.lit(0.0))).otherwise(v["score"]), "auto_reject": hit | v["auto_reject"],
+        "reject_reason": F.when(hit, F.coalesce(v["reject_reason"], F.lit(AESTHETIC_REASON))).otherwise(v["reject_reason"]),
+    }
+
+
 def face_flags(count: Column, sharpness: Column, eyes: Column, clipped: Column) -> Column:
     """Flags of a picture's faces, in order; none without a face."""
     rules = [("face_very_blurry", sharpness < 60), ("face_blurry", (sharpness >= 60) & (sharpness < 120)), ("eyes_closed", eyes < 0.22), ("face_clipped", clipped)]
@@ -136,10 +156,43 @@ def face_flags(count: Column, sharpness: Column, eyes: Column, clipped: Column)
 
 
 def face_rejects(flags: Column) -> Column:
-    return F.arrays_overlap(flags, F.array(F.lit("face_very_blurry"), F.lit("eyes_closed"), F.lit("face_clipped")))
+    return F.arrays_overlap(flags, F.array(*[F.lit(x) for x in ("face_very_blurry", "eyes_closed", "all_eyes_closed", "face_clipped")]))
+
+
+def with_faces(v: dict[str, Column], faces: Column) -> dict[str, Column]:
+    """A verdict after the face rules: face flags added, and rejected, with a reason if there's none, where one of them rejects."""
+    flags = F.array_union(v["flags"], faces)
+    hit = face_rejects(flags)
+    reason = F.when(hit, F.coalesce(v["reject_reason"], F.lit(FACE_REASON))).otherwise(v["reject_reason"])
+    return {"flags": flags, "score": v["score"], "auto_reject": hit | v["auto_reject"], "reject_reason": reason}
+
+
+def with_reply(v: dict[str, Column], model_verdict: Column, model_reason: Column) -> dict[str, Column]:
+    """A verdict after a model's: a rejection adds, anything else clears; null leaves all as it is. The rules' reason stays on a pass.
+
+    ``extra`` is a map of what the model said, null without it.
+    """
+    rejected, said = F.lower(model_verdict) == "reject", model_verdict.isNotNull()
+    return {
+        "flags": appended(v["flags"], F.when(rejected, "llm_reject").when(said, "llm_pass")), "score": v["score"], "auto_reject": F.when(said, rejected).otherwise(v["auto_reject"]),
+        "reject_reason": F.when(rejected, model_reason).otherwise(v["reject_reason"]), "extra": F.when(said, F.create_map(F.lit("llm_verdict"), model_verdict, F.lit("llm_reason"), model_reason)),
+    }
 
 
 def merged_verdict(auto_reject: Column, reason: Column, model_verdict: Column, model_reason: Column) -> tuple[Column, Column]:
-    """(auto_reject, reason) after a model's verdict: a rejection adds, a pass clears; the rules' reason stays on a pass."""
-    rejected = F.when(model_verdict == "reject", True).when(model_verdict == "pass", False).otherwise(auto_reject)
-    return rejected, F.when(model_verdict == "reject", model_reason).otherwise(reason)
+    """(auto_reject, reason) of with_reply."""
+    out = with_reply({"flags": F.array().cast("array<string>"), "score": F.lit(None), "auto_reject": auto_reject, "reject_reason": reason}, model_verdict, model_reason)
+    return out["auto_reject"], out["reject_reason"]
+
+
+def prescreen(auto_reject: Column, reject_reason: Column) -> Column:
+    """The reason for which a picture is left out before the selection; null if it takes part."""
+    return F.when(F.coalesce(auto_reject, F.lit(False)), F.coalesce(reject_reason, F.lit(DEFAULT_REASON)))
+
+
+def horizon(lines: Column) -> Column:
+    """Tilt from lines (structs deviation, length): the mean, weighted by length, over the third with the least deviation, one at least."""
+    ordered = F.array_sort(lines)
+    some = F.slice(ordered, F.lit(1), F.greatest(F.lit(1), F.floor(F.size(lines) / 3).cast("int")))
+    total = F.aggregate(some, F.lit(0.0), lambda a, x: a + x["length"])
+    return F.when(F.size(lines) > 0, F.aggregate(some, F.lit(0.0), lambda a, x: a + x["deviation"] * x["length"]) / F.greatest(total, F.lit(1e-8)))

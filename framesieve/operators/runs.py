@@ -14,8 +14,8 @@ from ..functions.hashes import hamming
 SESSION_GAP, EXPERT_GAP = 1800.0, 2700.0
 #: What neighbours in a burst may differ by.
 BURST_NUMBERS, BURST_SECONDS, BURST_BITS = 3, 1.2, 18
-#: Seconds in a slice.
-SLICE = 86_400.0
+#: Seconds in a slice of sessions, numbers in one of bursts.
+SLICE, BURST_SLICE = 86_400.0, 4_096
 
 
 def sessions(rows: DataFrame, time: str = "ts", key: str = "id", gap: float = SESSION_GAP, out: str = "segment_id", slice_seconds: float = SLICE) -> DataFrame:
@@ -46,14 +46,26 @@ def burst_runs(rows: DataFrame, prefix: str = "prefix", number: str = "number",
     Neighbours by number are in one run unless their numbers differ by more than 3, the later is over 1.2 s
     later, or their hashes differ in more than 18 bits. What isn't known doesn't part them.
     """
-    own = rows.filter(F.col(number).isNotNull())
-    order = Window.partitionBy(prefix).orderBy(F.col(number), F.col(key))
-    before = F.lag(F.struct(F.col(number).alias("n"), F.col(time).alias("t"), F.col(phash).alias("h"))).over(order)
-    apart = (F.col(number) - before["n"] > BURST_NUMBERS) | F.coalesce(F.col(time) - before["t"] > BURST_SECONDS, F.lit(False)) | F.coalesce(hamming(F.col(phash), before["h"]) > BURST_BITS, F.lit(False))
-    own = own.withColumn("__start__", F.coalesce(apart, F.lit(True)).cast("long"))
-    own = own.withColumn("run_id", F.sum("__start__").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    size = F.count(F.lit(1)).over(Window.partitionBy(prefix, "run_id"))
-    return own.withColumn("run_size", size).drop("__start__")
+    own = rows.filter(F.col(number).isNotNull()).withColumn("__slice__", F.floor(F.col(number) / BURST_SLICE))
+    here = F.struct(F.col(number).alias("n"), F.col(time).alias("t"), F.col(phash).alias("h"))
+
+    def apart(now: Column, before: Column) -> Column:
+        return (now["n"] - before["n"] > BURST_NUMBERS) | F.coalesce(now["t"] - before["t"] > BURST_SECONDS, F.lit(False)) | F.coalesce(hamming(now["h"], before["h"]) > BURST_BITS, F.lit(False))
+
+    # One name may be that of most rows: its rows are ordered within slices of numbers, and slices by their edges alone.
+    order = Window.partitionBy(prefix, "__slice__").orderBy(F.col(number), F.col(key))
+    own = own.withColumn("__here__", here).withColumn("__start__", F.coalesce(apart(F.col("__here__"), F.lag("__here__").over(order)), F.lit(False)).cast("long"))
+    own = own.withColumn("__n__", F.sum("__start__").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    place = F.struct(F.col(number).alias("n"), F.col(key).alias("k"))
+    edges = own.groupBy(F.col(prefix).alias("__p__"), F.col("__slice__").alias("__s__")).agg(F.min_by("__here__", place).alias("first"), F.max_by("__here__", place).alias("last"), F.max("__n__").alias("inner"))
+    across = Window.partitionBy("__p__").orderBy("__s__")
+    opens = F.coalesce(apart(F.col("first"), F.lag("last").over(across)), F.lit(True)).cast("long")
+    edges = edges.select("__p__", "__s__", "inner", opens.alias("opens"))
+    total = F.sum(F.col("opens") + F.col("inner")).over(across.rowsBetween(Window.unboundedPreceding, 0))
+    edges = edges.select("__p__", "__s__", (total - F.col("inner")).alias("__base__"))
+    own = own.join(edges, F.col(prefix).eqNullSafe(F.col("__p__")) & (F.col("__slice__") == F.col("__s__"))).withColumn("run_id", F.col("__base__") + F.col("__n__"))
+    sizes = own.groupBy(F.col(prefix).alias("__q__"), F.col("run_id").alias("__run__")).agg(F.count(F.lit(1)).alias("run_size"))
+    return own.join(sizes, F.col(prefix).eqNullSafe(F.col("__q__")) & (F.col("run_id") == F.col("__run__"))).select(*rows.columns, "run_id", "run_size")
 
 
 def forced_groups(rows: DataFrame, runs: DataFrame, segment: str = "segment_id", key: str = "id", prefix: str = "prefix") -> DataFrame:

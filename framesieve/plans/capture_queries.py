@@ -111,11 +111,11 @@ SELECT CASE WHEN dt IS NULL THEN '' ELSE month(dt)::VARCHAR || ' 月 ' || day(dt
 
 
 def eta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = views.captures(spark, sf_dir).filter("user_id < 10").select("id", (F.col("id") % 40).alias("done"), F.lit(40).alias("total"), (F.col("user_id") * 3.5).cast("double").alias("elapsed"))
+    c = views.captures(spark, sf_dir).select("id", (F.col("id") % 40).alias("done"), F.lit(40).alias("total"), (F.col("user_id") * 3.5).cast("double").alias("elapsed"))
     return c.select("id", _r6(runs.eta_seconds(F.col("done"), F.col("total"), F.col("elapsed"))).alias("eta"), text.elapsed_label(F.col("elapsed") * 7).alias("shown"), text.span_label(F.col("elapsed") * F.col("done")).alias("span"))
 
 
-_ETA = f"""WITH {views.CAPTURES}, c AS (SELECT id, id % 40 AS done, 40 AS total, (user_id * 3.5)::DOUBLE AS elapsed FROM captures WHERE user_id < 10),
+_ETA = f"""WITH {views.CAPTURES}, c AS (SELECT id, id % 40 AS done, 40 AS total, (user_id * 3.5)::DOUBLE AS elapsed FROM captures),
 d AS (SELECT *, elapsed * 7 AS e7, elapsed * done AS sp FROM c)
 SELECT id, CASE WHEN done >= 5 AND elapsed > 1 THEN floor((total - done) / (done / elapsed) * 1e6 + 0.5) / 1e6 END AS eta,
   CASE WHEN e7 < 60 THEN (floor(e7 * 10 + 0.5)::BIGINT // 10)::VARCHAR || '.' || (floor(e7 * 10 + 0.5)::BIGINT % 10)::VARCHAR || ' 秒'
@@ -161,8 +161,9 @@ def cache_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     c = views.captures(spark, sf_dir).select("path", "size", "mtime", "id")
     old = c.filter("id % 4 < 3").select("path", F.when(F.col("id") % 5 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("size"), (F.col("mtime") + F.col("id") % 7 * 0.5).alias("mtime"), F.lit("cached").alias("record"))
+    old = old.union(old.withColumns({"mtime": F.col("mtime") - 50, "record": F.lit("stale")}))
     reused, fresh = split_reuse(c, old)
-    return reused.select("id", F.lit("reused").alias("state")).union(fresh.select("id", F.lit("new").alias("state")))
+    return reused.select("id", F.when(F.col("record") == "cached", "reused").otherwise(F.col("record")).alias("state")).union(fresh.select("id", F.lit("new").alias("state")))
 
 
 QUERIES = {f.__name__: f for f in (sessionize_global, sessionize_expert, burst_runs, session_bursts_summary, forced_groups, best_member, earliest_dt, preview_cards, grouping_totals, chapters_half_day, eta, cursor_feed, ring_200, event_counters, preference_ratio, largest_gap_split, cache_reuse)}

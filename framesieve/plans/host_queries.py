@@ -63,7 +63,7 @@ def recent_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last twelve of each user by score, and how many more there are."""
     from pyspark.sql import Window
 
-    c = views.captures(spark, sf_dir).filter("score > 30")
+    c = views.captures(spark, sf_dir)
     w = Window.partitionBy("user_id")
     ranked = c.withColumns({"k": F.row_number().over(w.orderBy(F.col("id").desc())), "n": F.count(F.lit(1)).over(w)})
     return ranked.filter("k <= 12").select("user_id", "id", "k", F.greatest(F.col("n") - 12, F.lit(0)).alias("more"))
@@ -78,5 +78,5 @@ ORACLES = {
     "thumbnail_state": f"WITH {views.CAPTURES} SELECT path, id % 3 > 0 AND id % 2 = 1 AS fresh, 16 AS n FROM captures",
     "reply_protocols": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'pass' ELSE 'reject' END AS verdict, 'r' || o_orderkey::VARCHAR AS reason FROM orders",
     "reused_union": f"WITH {views.CAPTURES} SELECT id, row_number() OVER (PARTITION BY prefix ORDER BY id)::INTEGER AS seq FROM captures WHERE NOT rejected",
-    "recent_winners": f"WITH {views.CAPTURES}, r AS (SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY id DESC)::INTEGER AS k, count(*) OVER (PARTITION BY user_id) AS n FROM captures WHERE score > 30) SELECT user_id, id, k, greatest(n - 12, 0) AS more FROM r WHERE k <= 12",
+    "recent_winners": f"WITH {views.CAPTURES}, r AS (SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY id DESC)::INTEGER AS k, count(*) OVER (PARTITION BY user_id) AS n FROM captures) SELECT user_id, id, k, greatest(n - 12, 0) AS more FROM r WHERE k <= 12",
 }

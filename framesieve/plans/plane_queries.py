@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kernels, text
+from ..operators.components import shared_folder
 from ..operators.faces import suppressed
 from ..streaming import feeds
 from . import views
@@ -79,17 +80,11 @@ def box_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def streaming_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of each event type, run as a stream over the table to its end."""
-    name = f"sessions_{abs(hash((sf_dir, id(spark)))) % 10**9}"
     source = spark.readStream.schema(views.table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").load(sf_dir)
     events = source.select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    counts = feeds.session_counts(events, by=["event_type"])
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    query = counts.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{folder.rstrip('/')}/{name}-{id(counts)}").start()
-    try:
-        query.processAllAvailable()
-    finally:
-        query.stop()
-    return spark.table(name).select("event_type", F.unix_micros("start").alias("start"), "n")
+    folder = f"{shared_folder(spark)}/sessions-{uuid.uuid4().hex}"
+    out = feeds.to_table(feeds.session_counts(events, by=["event_type"]), folder)
+    return out.select("event_type", F.unix_micros("start").alias("start"), "n")
 
 
 def overlay_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ def _flags_sql(p: q.Profile) -> str:
 sc AS (SELECT *, greatest(0.0::DOUBLE, least(100.0::DOUBLE, blur_combined * 35 + greatest(0.0::DOUBLE, 25 - abs(mean - 128) / 128 * 25) + least(20.0::DOUBLE, contrast / 64 * 20) + least(10.0::DOUBLE, entropy / 7 * 10)
   + coalesce(composition, 0.5::DOUBLE) * 10 + {p.adjust} - ({cost}))) AS raw FROM fl),
 rj AS (SELECT *, {reject} OR raw < {p.least_score} AS auto_reject FROM sc),
-vd AS (SELECT *, CASE WHEN auto_reject THEN CASE {reason} ELSE '{q.LOW_SCORE_REASON}' END END AS reject_reason FROM rj)"""
+vd AS (SELECT *, CASE WHEN auto_reject THEN CASE WHEN NOT ({reject}) THEN '{q.LOW_SCORE_REASON}' {reason} END END AS reject_reason FROM rj)"""
 
 
 def quality_flags_standard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +138,7 @@ def human_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = views.table(spark, sf_dir, "documents")
-    line = F.concat(F.lit("  "), F.substring("text", 1, 40), F.lit(" \t x  "))
+    line = F.concat(F.lit("  "), F.col("text"), F.lit(" \t x  "))
     n = F.col("doc_id") % 7
     make = F.element_at(F.array(*[F.lit(x) for x in ("FUJIFILM", "Canon Inc.", "NIKON", "OM Digital Solutions", "Xiaomi", "acme", "Apple")]), (n + 1).cast("int"))
     template = F.element_at(F.array(*[F.lit(x) for x in ("a_plain", "B_clean", "c", "Z_odd", "d_x_clean", "", "e_1")]), (n + 1).cast("int"))
@@ -245,7 +245,7 @@ ORACLES = {
     "path_parts": f"WITH {views.PATHS}, p AS (SELECT id, path, regexp_extract(path, '[^/]*$') AS name, lower(regexp_extract(path, '\\.[^.]*$')) AS ext FROM paths) SELECT id, name, regexp_replace(name, '\\.[^.]*$', '') AS stem, ext, 'IMG_' AS prefix, id // 3 AS number, CASE ext WHEN '.cr2' THEN 'raw' WHEN '.heic' THEN 'heic' WHEN '.xmp' THEN 'sidecar' WHEN '.jpg' THEN 'image' ELSE 'other' END AS kind, CASE ext WHEN '.jpg' THEN 'image/jpeg' ELSE 'application/octet-stream' END AS type, path LIKE '/d3/%' AS inside FROM p",
     "name_similarity": f"WITH {views.PATHS} SELECT a.id, floor(greatest(0.0::DOUBLE, 1.0::DOUBLE - abs(a.id // 3 - b.id // 3)::DOUBLE / 30.0::DOUBLE) * 1e6 + 0.5) / 1e6 AS sim FROM paths a JOIN paths b ON b.id = a.id + 50",
     "human_bytes": f"WITH {views.CAPTURES}, n AS (SELECT id, CASE WHEN id % 5 = 0 THEN id % 1500 ELSE size END AS n FROM captures) SELECT id, CASE WHEN n < 1024 THEN n::VARCHAR || ' B' WHEN n < 1048576 THEN round_even(n / 1024.0::DOUBLE, 0)::BIGINT::VARCHAR || ' KB' ELSE (round_even(n / 1048576.0::DOUBLE * 10, 0)::BIGINT // 10)::VARCHAR || '.' || (round_even(n / 1048576.0::DOUBLE * 10, 0)::BIGINT % 10)::VARCHAR || ' MB' END AS shown FROM n",
-    "text_helpers": "SELECT doc_id, CASE WHEN length(source) > 4 THEN substr(source, 1, 4) || '…' ELSE source END AS short, CASE doc_id % 7 WHEN 0 THEN 'fujifilm.png' WHEN 1 THEN 'canon.png' WHEN 2 THEN 'nikon.png' WHEN 3 THEN 'olympus_blue_gold.png' WHEN 4 THEN 'xmage.png' WHEN 5 THEN 'default.png' ELSE 'apple.png' END AS logo, CASE doc_id % 7 WHEN 1 THEN 'B' WHEN 2 THEN 'C' WHEN 4 THEN 'D' WHEN 6 THEN 'E' ELSE 'A' END AS family, doc_id % 7 NOT IN (1, 4) AS params, ((doc_id % 7) * 10 + 5)::DOUBLE AS focal, ((doc_id % 7)::VARCHAR || '.8')::DOUBLE AS aperture, length(trim(regexp_replace('  ' || substr(text, 1, 40) || ' ' || chr(9) || ' x  ', '\\s+', ' ', 'g')))::INTEGER AS n FROM documents",
+    "text_helpers": "SELECT doc_id, CASE WHEN length(source) > 4 THEN substr(source, 1, 4) || '…' ELSE source END AS short, CASE doc_id % 7 WHEN 0 THEN 'fujifilm.png' WHEN 1 THEN 'canon.png' WHEN 2 THEN 'nikon.png' WHEN 3 THEN 'olympus_blue_gold.png' WHEN 4 THEN 'xmage.png' WHEN 5 THEN 'default.png' ELSE 'apple.png' END AS logo, CASE doc_id % 7 WHEN 1 THEN 'B' WHEN 2 THEN 'C' WHEN 4 THEN 'D' WHEN 6 THEN 'E' ELSE 'A' END AS family, doc_id % 7 NOT IN (1, 4) AS params, ((doc_id % 7) * 10 + 5)::DOUBLE AS focal, ((doc_id % 7)::VARCHAR || '.8')::DOUBLE AS aperture, coalesce(length(trim(regexp_replace(replace('  ' || text || ' ' || chr(9) || ' x  ', chr(0), ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))), 0)::INTEGER AS n FROM documents",
     "version_compare": f"WITH {views.CAPTURES}, v AS (SELECT id, [id % 3, id % 12, 0] AS a, [id % 2, id % 11, id % 2] AS b FROM captures) SELECT id, a[1] > b[1] OR (a[1] = b[1] AND (a[2] > b[2] OR (a[2] = b[2] AND a[3] > b[3]))) AS newer FROM v",
     "pair_explanation": _EXPLAIN, "pairing_by_stem": _PAIRING,
     "folder_peek": f"WITH p AS ({_PAIRING}) SELECT count(*) AS n, sum(length(\"primary\"))::BIGINT AS bytes, CASE WHEN sum(length(\"primary\")) < 1024 THEN sum(length(\"primary\"))::VARCHAR || ' B' WHEN sum(length(\"primary\")) < 1048576 THEN round_even(sum(length(\"primary\")) / 1024.0::DOUBLE, 0)::BIGINT::VARCHAR || ' KB' END AS shown FROM p",

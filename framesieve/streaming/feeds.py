@@ -28,6 +28,20 @@ def session_counts(captures: DataFrame, time: str = "ts", gap: str = "30 minutes
     return out.select(*(by or []), F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
+def to_table(counts: DataFrame, folder: str) -> DataFrame:
+    """Runs a stream of whole results over what its source has by now; gives the last result, written as Parquet below folder by the workers."""
+    last = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/result-{number}")
+        last[:] = [number]
+
+    query = counts.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+    query.awaitTermination()
+    spark = counts.sparkSession
+    return spark.read.schema(counts.schema).parquet(f"{folder}/result-{last[0]}") if last else spark.createDataFrame([], counts.schema)
+
+
 def windowed_counts(captures: DataFrame, time: str, width: str, slide: str | None, by: str, late: str = "10 minutes") -> DataFrame:
     """(by, start, n) in tumbling or sliding windows of event time."""
     window = F.window(F.col(time), width, slide) if slide else F.window(F.col(time), width)
