@@ -23,15 +23,18 @@ class MediaEngine:
 
     def describe(self, folder: str, pairs_of: DataFrame) -> DataFrame:
         """A row for each pair with its picture's hashes, signals, verdict and name parts; failures keep their reason."""
-        rows = images.described(images.decoded(self.spark, folder)).withColumnRenamed("path", "analysis")
-        out = pairs_of.drop("kind").join(rows, "analysis", "left")
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(F.regexp_replace("path", "^[a-z]+:/*/", "/").alias("path"), "content")
+        meta = images.metadata(files.join(pairs_of.select(F.col("analysis").alias("path")).distinct(), "path", "left_semi"))
+        pictures = images.decoded(self.spark, folder).join(meta.select("path", F.col("exif")["orientation"].alias("orientation")), "path", "left")
+        rows = images.described(pictures).withColumnRenamed("path", "analysis")
+        out = pairs_of.drop("kind").join(rows, "analysis", "left").join(meta.withColumnRenamed("path", "analysis"), "analysis", "left")
         signals = {k: F.col(k).cast("double") for k in quality.SIGNALS}
         out = out.withColumns(quality.verdict(signals, self.profile))
         stem = text.stem(F.col("primary"))
         place = F.xxhash64("primary").bitwiseAND((1 << 62) - 1)
-        none = {c: F.lit(None).cast("string") for c in ("camera", "lens")} | {c: F.lit(None).cast("double") for c in ("focal", "aperture", "lat", "lon")}
-        more = {"id": place, "path": F.col("primary"), "ts": F.col("mtime"), "prefix": text.name_prefix(stem), "number": text.number_suffix(stem).cast("long"), "rejected": F.coalesce("auto_reject", F.lit(False))}
-        return out.withColumns(more | none)
+        known = images.exif_columns(F.col("exif"))
+        more = {"id": place, "path": F.col("primary"), "ts": text.effective_time(known["taken"], F.lit(None).cast("double"), F.col("mtime")), "prefix": text.name_prefix(stem), "number": text.number_suffix(stem).cast("long"), "rejected": F.coalesce("auto_reject", F.lit(False))}
+        return out.withColumns(more | {c: known[c] for c in ("camera", "lens", "focal", "aperture", "lat", "lon")}).drop("exif")
 
     def describe_new(self, folder: str, pairs_of: DataFrame, cached: DataFrame | None) -> DataFrame:
         """As describe, but rows whose cached description is still good aren't decoded again."""

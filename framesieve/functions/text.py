@@ -194,8 +194,17 @@ def reason_category(reason: Column) -> Column:
     return out
 
 
-def pair_explanation(left: dict[str, Column], right: dict[str, Column]) -> Column:
-    """How two members differ: the first clear sign, else up to two weaker ones, else that there is little difference."""
+def pair_explanation(left: dict[str, Column], right: dict[str, Column], aesthetic: Column | None = None, sharper: Column | None = None) -> Column:
+    """How two members differ: the first clear sign, else up to two weaker ones, else that there is little difference.
+
+    aesthetic and sharper are how far recent choices lean to either (-1 to 1, null where too few were made): a sign that agrees says so.
+    """
+    agrees = F.lit("（与近期选择一致）")
+
+    def leaning(said: str, condition: Column | None) -> Column:
+        return F.lit(said) if condition is None else F.concat(F.lit(said), F.when(condition, agrees).otherwise(""))
+
+    tasteful, sharp = (None if aesthetic is None else F.abs(aesthetic) > 0.3), (None if sharper is None else sharper > 0.3)
     le, re = left["eyes"], right["eyes"]
     da = left["aesthetic"] - right["aesthetic"]
 
@@ -215,15 +224,47 @@ def pair_explanation(left: dict[str, Column], right: dict[str, Column]) -> Colum
     return (
         F.when((le < 0.45) & (re >= 0.65), "看起来左图主体在闭眼")
         .when((re < 0.45) & (le >= 0.65), "看起来右图主体在闭眼")
-        .when(da > 0.45, "看起来左图观感更舒服")
-        .when(da < -0.45, "看起来右图观感更舒服")
-        .when(face > 0.25, "看起来左图人脸更清晰")
-        .when(face < -0.25, "看起来右图人脸更清晰")
+        .when(da > 0.45, leaning("看起来左图观感更舒服", tasteful))
+        .when(da < -0.45, leaning("看起来右图观感更舒服", tasteful))
+        .when(face > 0.25, leaning("看起来左图人脸更清晰", sharp))
+        .when(face < -0.25, leaning("看起来右图人脸更清晰", sharp))
         .when(weak != "", weak)
         .otherwise("两张差异微弱，按 ↑ 都留也是个选择")
     )
 
 
+def shown_fields(meta: dict[str, Column]) -> dict[str, Column]:
+    """The eight fields of a picture as they are shown; empty where they aren't known."""
+    known = {k: F.coalesce(meta[k].cast("string"), F.lit("")) for k in ("camera", "lens", "focal_length", "aperture", "shutter")}
+    known["iso"] = F.when(F.coalesce(meta["iso"].cast("string"), F.lit("")) != "", F.concat(F.lit("ISO "), meta["iso"].cast("string"))).otherwise("")
+    known["dim"] = F.when((meta["width"] > 0) & (meta["height"] > 0), F.concat_ws("×", meta["width"].cast("string"), meta["height"].cast("string"))).otherwise("")
+    known["size"] = F.when(meta["size"] > 0, human_bytes(meta["size"])).otherwise("")
+    return known
+
+
+def marked_fields(own: dict[str, Column], other: dict[str, Column]) -> Column:
+    """Names of the shown fields that both have and that differ."""
+    a, b = shown_fields(own), shown_fields(other)
+    return F.array_compact(F.array(*[F.when((a[k] != "") & (b[k] != "") & (a[k] != b[k]), k) for k in a]))
+
+
+def group_progress(decided: Column, total: Column) -> Column:
+    """Percentage of a group's decisions, 100 at most; 0 for none to make."""
+    return F.when(total > 0, F.least(F.lit(100.0), decided / total * 100)).otherwise(0.0)
+
+
+def group_title(short_id: Column, datetime: Column, total: Column) -> Column:
+    """The half of the day and the number of pictures, where they are known; else the short id."""
+    count = F.concat(F.lit("连拍 "), total.cast("string"), F.lit(" 张"))
+    plain = F.concat(F.lit("组 #"), F.coalesce(short_id, F.lit("")))
+    return F.when(F.coalesce(datetime, F.lit("")) != "", F.concat(half_day(datetime), F.lit(" · "), count)).when(total > 1, count).otherwise(plain)
+
+
+def iso_format(time: Column) -> Column:
+    """A timestamp as ISO text to whole seconds."""
+    return F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss")
+
+
 def differing_fields(a: dict[str, Column], b: dict[str, Column]) -> Column:
     """Names of the fields that both have and that differ, in order."""
     return F.array_compact(F.array(*[F.when(a[k] != b[k], k) for k in a]))

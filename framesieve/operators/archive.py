@@ -74,6 +74,52 @@ def committed(paths: DataFrame, transfers: DataFrame, path: str = "path") -> Dat
     return paths.join(moved, F.col(path) == F.col("__src__"), "left").withColumn(path, F.coalesce("__dst__", path)).drop("__src__", "__dst__")
 
 
+def committed_states(states: DataFrame, transfers: DataFrame, move: bool) -> DataFrame:
+    """states (group_id, winner, extra_winners, losers and more) with ``applied``; after a move, paths are where their files went."""
+    done = transfers.groupBy("group_id").agg(F.map_from_entries(F.collect_list(F.struct("src", "dst"))).alias("__to__"))
+    out = states.join(done, "group_id", "left").withColumn("applied", F.col("__to__").isNotNull())
+
+    def went(path: Column) -> Column:
+        return F.coalesce(F.try_element_at("__to__", path), path) if move else path
+
+    return out.withColumns({"winner": went(F.col("winner")), "extra_winners": F.transform("extra_winners", went), "losers": F.transform("losers", went)}).drop("__to__")
+
+
+def log_rows(transfers: DataFrame) -> DataFrame:
+    """What a commit adds to the log: (group_id, seq, kind, src, dst)."""
+    return transfers.select("group_id", "seq", "kind", "src", "dst")
+
+
+def revert(rows: DataFrame, folder: str) -> list[tuple[str, str]]:
+    """Carries a revert plan out below folder on this machine; returns (path, reason) of what failed. An action, never part of a query."""
+    failed = []
+    for r in rows.orderBy("group_id", "seq").toLocalIterator():
+        source = os.path.join(folder, r["src"])
+        if r["failure"] or not os.path.exists(source):
+            failed.append((r["src"], "target missing"))
+            continue
+        try:
+            if r["dst"] is None:
+                os.remove(source)
+            else:
+                target, n = os.path.join(folder, r["dst"]), 0
+                base, ending = os.path.splitext(target)
+                while os.path.exists(target):
+                    n += 1
+                    target = f"{base}_{n}{ending}"
+                os.rename(source, target)
+        except OSError as e:
+            failed.append((r["src"], str(e)))
+    return failed
+
+
+def save_state(states: DataFrame, folder: str, version: int) -> str:
+    """Writes a session's states as a new version below folder; a reader takes the highest version that is whole."""
+    path = f"{folder.rstrip('/')}/state-{version:08}"
+    states.write.mode("errorifexists").parquet(path)
+    return path
+
+
 def execute(transfers: DataFrame, folder: str, move: bool = False) -> list[tuple[str, str, str]]:
     """Carries a plan out below folder on this machine, row by row; returns (src, dst, error) of what failed. An action, never part of a query."""
     failed = []

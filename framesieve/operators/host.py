@@ -13,7 +13,17 @@ MANIFEST = "id string, version string, runtime string, models array<string>, fil
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:
     """(file, manifest columns) of JSON documents, a byte order mark left out; a broken document has nulls."""
     files = spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("file"))
-    return files.select("file", F.from_json(F.regexp_replace("value", "^\\ufeff", ""), MANIFEST).alias("m")).select("file", "m.*")
+    return files.select("file", manifest(F.col("value")).alias("m")).select("file", "m.*")
+
+
+def manifest(text: Column) -> Column:
+    """A manifest's fields from its JSON; nulls where it is broken."""
+    return F.from_json(F.regexp_replace(text, "^\\ufeff", ""), MANIFEST)
+
+
+def manifest_of(asked: Column, environment: Column, official: Column, packaged: Column) -> Column:
+    """Where a manifest is read from: what was asked for, else the environment's, the official or the packaged one; blanks don't count."""
+    return F.coalesce(*[F.when(F.trim(c) != "", c) for c in (asked, environment, official, packaged)])
 
 
 def component_status(defined: DataFrame, installed: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .grouped import fold_groups
@@ -19,11 +19,29 @@ class Knockout:
 
     def __init__(self, images: Iterable[str]):
         self.images = list(images)
+        self.rejected, self.restored = [], []
         self.losers: list[str] = []
         self.extra_winners: list[str] = []
         self.skips, self.undo_stack = 0, []
         self._start(self.images)
 
+    def _live(self) -> list[str]:
+        return [p for p in self.images if p not in self.rejected]
+
+    def reject(self, path: str) -> None:
+        """Takes a picture out before the selection; it counts as a loser."""
+        if path in self.images and path not in self.rejected:
+            self.rejected.append(path)
+            self.losers.append(path)
+            self._start(self._live())
+
+    def restore(self, path: str) -> None:
+        """Puts a rejected picture back; the group starts anew."""
+        self.rejected, self.losers = [p for p in self.rejected if p != path], [p for p in self.losers if p != path]
+        if path not in self.restored:
+            self.restored.append(path)
+        self._start(self._live())
+
     def _start(self, live: list[str]) -> None:
         self.left = self.right = self.winner = None
         self.pending: list[str] = []
@@ -79,6 +97,10 @@ class Knockout:
         elif action == "reopen":
             self.losers, self.extra_winners = [], []
             self._start(self.images)
+        elif action == "reject":
+            self.reject(arg or "")
+        elif action == "restore":
+            self.restore(arg or "")
         elif action == "reset":
             self._start([p for p in (arg or "").split("|") if p])
 
@@ -108,6 +130,21 @@ def replay(images: DataFrame, decisions: DataFrame) -> DataFrame:
     return fold_groups(a.unionByName(b), "group_id", fold, STATE, ["kind", "seq", "action"])
 
 
+def initial(images: Column) -> Column:
+    """Struct (left, right, pending, winner, finished) of a group before any decision: one picture has won, two face each other."""
+    many = F.size(images) > 1
+    return F.struct(
+        F.when(many, F.try_element_at(images, F.lit(1))).alias("left"), F.when(many, F.try_element_at(images, F.lit(2))).alias("right"),
+        F.when(many, F.slice(images, F.lit(3), F.size(images))).otherwise(F.array().cast("array<string>")).alias("pending"), F.when(F.size(images) == 1, F.element_at(images, 1)).alias("winner"), (~many).alias("finished"),
+    )
+
+
+def queue(groups: DataFrame, skips: DataFrame) -> DataFrame:
+    """groups (group_id, pos) with ``turn``, by which they come: a skipped one (group_id, seq) goes behind all others, the last skipped last."""
+    last = skips.groupBy("group_id").agg(F.max("seq").alias("__seq__"))
+    return groups.join(last, "group_id", "left").withColumn("turn", F.struct(F.coalesce("__seq__", F.lit(-1)).alias("skipped"), F.col("pos").alias("pos"))).drop("__seq__")
+
+
 def member_status(states: DataFrame) -> DataFrame:
     """(group_id, pos, path, status) of each image: winner, loser, current-left, current-right or pending."""
     rows = states.select("*", F.posexplode("images").alias("pos", "path"))

@@ -47,6 +47,28 @@ def chapters(rows: DataFrame, labels: list[str], pos: str) -> DataFrame:
     return rows.groupBy(*labels).agg(F.count(F.lit(1)).alias("n"), F.min(pos).alias("first"))
 
 
+def album(rows: DataFrame, datetime: str) -> DataFrame:
+    """rows in order of their datetime texts, those without one last."""
+    return rows.orderBy(F.coalesce(F.col(datetime), F.lit("z")))
+
+
+def skipped_tail(rows: DataFrame, seq: str, n: int = 50) -> DataFrame:
+    """The last n rows that were skipped, the last first."""
+    return rows.orderBy(F.col(seq).desc()).limit(n)
+
+
+def rejected_members(members: DataFrame, rejected: DataFrame, group: str, path: str = "path") -> DataFrame:
+    """(group, path, reason) of each rejected picture (path, reason) that is in a group; one that is in none is left out."""
+    return members.select(group, path).distinct().join(rejected, path).select(group, path, "reason")
+
+
+def ordered_groups(members: DataFrame, group: str, time: str, key: str) -> DataFrame:
+    """(group, first, members): members by time (null as 0), then key; first is the time by which groups are ordered."""
+    each = F.array_sort(F.collect_list(F.struct(F.coalesce(F.col(time), F.lit(0.0)).alias("t"), F.col(key).alias("k"))))
+    out = members.groupBy(group).agg(each.alias("m"))
+    return out.select(group, F.element_at("m", 1)["t"].alias("first"), F.transform("m", lambda x: x["k"]).alias("members"))
+
+
 def preference(rows: DataFrame, trait: str, chosen: str) -> DataFrame:
     """(trait, n, ratio, enabled): how often members with the trait were chosen rather than passed; 0 below four decisions, enabled from eight."""
     out = rows.groupBy(trait).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(chosen)).alias("c"))
