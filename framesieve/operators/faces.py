@@ -38,7 +38,7 @@ def face_overlap_pairs(pairs: DataFrame, a: str, b: str, out: str = "overlap", a
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            value = [match_faces(*(np.array([np.asarray(f, dtype=np.float64) for f in (s if s is not None else [])]) for s in x)) for x in zip(batch[a], batch[b], strict=True)]
+            value = [match_faces(*(np.array([np.asarray(f, dtype=np.float64) for f in (s if s is not None else [])]) for s in x), accept=accept) for x in zip(batch[a], batch[b], strict=True)]
             yield batch[kept].assign(**{out: value})
 
     return pairs.mapInPandas(run, pairs.select(*kept).schema.add(out, "double"))

@@ -204,7 +204,7 @@ def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knockout_final(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _states(spark, sf_dir)
+    return _states(spark, sf_dir).withColumns({c: F.array_join(c, "|") for c in ("images", "pending", "losers", "extra_winners")})
 
 
 def member_status(spark: SparkSession, sf_dir: str) -> DataFrame:
