@@ -123,7 +123,7 @@ def best_licences(candidates: DataFrame) -> DataFrame:
     tf = stored(own.select("s", "t", F.explode(terms_of(F.col("words"))).alias("term")).groupBy("s", "t", "term").agg(F.count(F.lit(1)).cast("double").alias("n")), "licences-terms")
     templates = spark.createDataFrame(template_rows(), "k int, licence string, term string, c int")
     vocabulary = templates.groupBy("term").agg(F.count(F.lit(1)).alias("d0"))
-    texts = candidates.select("row", F.explode(F.array_distinct(terms_of(words_of(F.col("text"))))).alias("term"))
+    texts = stored(candidates.select("row", words_of(F.col("text")).alias("words")), "licences-words").select("row", F.explode(F.array_distinct(terms_of(F.col("words")))).alias("term"))
     seen = texts.join(F.broadcast(vocabulary), "term").groupBy("term").agg(F.count(F.lit(1)).alias("d1"))
     n = candidates.count() + len(TEMPLATES)
     idf = vocabulary.join(seen, "term", "left").select("term", (F.log((1.0 + n) / (1.0 + F.col("d0") + F.coalesce("d1", F.lit(0)))) + 1).alias("idf")).checkpoint()
