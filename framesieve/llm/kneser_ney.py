@@ -4,7 +4,7 @@ The model has characters as symbols and one language's words, from their beginni
 sentences. N-grams of all trusted text are counted in parts and summed by hash shards; lower orders,
 discounts, interpolated probabilities and back-off weights follow by joins of the count tables. A
 document's perplexity is over all its characters and word ends. It is kept if that isn't above a quantile of the
-perplexities of its language's trusted documents.
+perplexities of its language's trusted documents that were held out of the model.
 """
 
 from __future__ import annotations
@@ -29,8 +29,12 @@ QUANTILE = 0.995
 BIN = 0.001
 #: Rows of a model that is sent to all workers; a larger one is joined. Words that a worker remembers or counts at a time.
 MODEL_ROWS, REMEMBERED, COUNTED = 600_000, 300_000, 200_000
+#: One of so many trusted documents sets the thresholds and isn't in the model.
+HELD_OUT = 5
 #: Trusted keys (a number each) up to which they are broadcast.
 KEY_ROWS = 1_000_000
+
+
 def _grams(word: str, order: int) -> list[str]:
     padded = BEGIN * (order - 1) + word + END
     return [padded[i : i + order] for i in range(len(word) + 1)]
@@ -219,13 +223,21 @@ def _score_by_joins(docs: DataFrame, model: DataFrame, order: int) -> DataFrame:
 
 
 def thresholds(perplexities: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """(lang, threshold) from trusted documents' (lang, perplexity): the upper edge of the bin that holds the quantile."""
+    """(lang, threshold) from trusted documents' (lang, perplexity): the upper edge of the bin that holds the quantile.
+
+    It is at most exp(BIN) times the quantile itself. Equal perplexities share a bin, languages without any have no row.
+    """
     bins = perplexities.groupBy("lang", F.floor(F.log("perplexity") / BIN).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     run = Window.partitionBy("lang").orderBy("bin")
     bins = bins.withColumn("upto", F.sum("n").over(run)).withColumn("total", F.sum("n").over(Window.partitionBy("lang")))
     return bins.filter(F.col("upto") >= quantile * F.col("total")).groupBy("lang").agg(F.exp((F.min("bin") + 1) * BIN).alias("threshold"))
 
 
+def held_out(key: Column) -> Column:
+    """Whether a trusted key is kept from the model, so that its text can set the threshold: about one in HELD_OUT."""
+    return F.pmod(F.xxhash64(key, F.lit("held")), F.lit(HELD_OUT)) == 0
+
+
 def quality(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", order: int = ORDER, quantile: float = QUANTILE, model_rows: int = MODEL_ROWS) -> DataFrame:
     """(key, lang, perplexity, threshold, kept) of each row; trusted has the keys of trusted rows.
 
@@ -236,12 +248,15 @@ def quality(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str =
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{lang}`"), F.lit("")).alias("lang"), F.col(f"`{text}`").alias("text"))
     keys = trusted.select(F.col(f"`{key}`").alias("trusted")).filter("trusted IS NOT NULL").distinct().checkpoint()
     known = maybe_broadcast(keys, KEY_ROWS, 40 * KEY_ROWS)
-    counts = count_ngrams(rows.join(known, F.col("key") == F.col("trusted"), "left_semi"), order)
+    counts = count_ngrams(rows.filter(~held_out(F.col("key"))).join(known, F.col("key") == F.col("trusted"), "left_semi"), order)
     model = stored(build_model(counts, order), "kn-model")
     score = _score_here if model.count() <= model_rows else _score_by_joins
     scored = score(rows, model, order)
     perplexity: Column = F.when(F.col("symbols") > 0, F.exp(-F.col("loglik") / F.col("symbols")))
     scored = stored(scored.select("key", "lang", perplexity.alias("perplexity"), F.col("symbols")), "kn-scores")
-    level = thresholds(scored.filter("perplexity IS NOT NULL").join(known, F.col("key") == F.col("trusted"), "left_semi"), quantile).checkpoint()
+    judged = scored.filter("perplexity IS NOT NULL").join(known, F.col("key") == F.col("trusted"), "left_semi")
+    own = thresholds(judged.filter(held_out(F.col("key"))), quantile)
+    # A language of which no trusted document was held out has its threshold from those of the model.
+    level = own.unionByName(thresholds(judged, quantile).join(own.select("lang"), "lang", "left_anti")).checkpoint()
     kept = F.when(F.col("symbols") == 0, False).otherwise(F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
     return scored.join(maybe_broadcast(level), "lang", "left").select(F.col("key").alias(key), F.col("lang").alias(lang), "perplexity", "threshold", kept.alias("kept"))
