@@ -60,6 +60,8 @@ ANCHORS = ("cc0", "copyright", "licence", "license", "licensed", "permission", "
 NEAR = r"(?i)(?<![a-z0-9])(?:" + "|".join(ANCHORS) + r")(?![a-z0-9])"
 #: Least cosine, and by how much the best has to be ahead of the next licence, or both are unknown.
 THRESHOLD, MARGIN = 0.7, 0.005
+#: Licences whose text includes another's: from this score on they come before it, however well a part fits the other.
+WIDER, WIDER_FROM = ("BSD-3-Clause", "BSD-4-Clause", "ISC"), 0.9
 #: Words of the windows.
 WINDOWS = (6, 8, 16, 32, 64, 128)
 #: Names of licence files.
@@ -140,7 +142,8 @@ def best_licences(candidates: DataFrame) -> DataFrame:
     best = best.select("s", "t", F.col("b.score").alias("score"), F.when(F.col("b.score") - F.coalesce(F.try_element_at("all", F.lit(2)), F.lit(0.0)) >= MARGIN, F.col("b.licence")).alias("licence"))
     found = stored(best.withColumnsRenamed({"s": "bs", "t": "bt"}), "licences-best")
     rows = dealt_join(cut.select("row", seg[0].alias("s"), seg[1].alias("t")), found, (F.col("s") == F.col("bs")) & (F.col("t") == F.col("bt")), F.col("row"))
-    return rows.groupBy("row").agg(F.max(F.struct("score", F.col("licence").isNotNull().alias("known"), "licence")).alias("m")).select("row", "m.score", "m.licence").filter("licence IS NOT NULL")
+    wide = F.coalesce(F.col("licence").isin(*WIDER) & (F.col("score") >= WIDER_FROM), F.lit(False))
+    return rows.groupBy("row").agg(F.max(F.struct(wide.alias("wide"), "score", F.col("licence").isNotNull().alias("known"), "licence")).alias("m")).select("row", "m.score", "m.licence").filter("licence IS NOT NULL")
 
 
 def ancestors(directory: Column) -> Column:
@@ -200,6 +203,7 @@ def oracle_sql() -> str:
     anchors = "[" + ", ".join(f"'{a}'" for a in ANCHORS) + "]"
     near = r"(^|[^a-z0-9])(" + "|".join(ANCHORS) + r")([^a-z0-9]|$)"
     windows = ", ".join(f"list_transform(range(0, greatest(1, len(w) - {n} + {n // 4}), {n // 4}), lambda k: w[k + 1:k + {n}])" for n in WINDOWS)
+    wider = ", ".join(f"'{x}'" for x in WIDER)
     line = SPDX_LINE.replace(r"\(", "[(]")
     return rf"""
 WITH tpl(k, licence, term, c) AS (VALUES {rows}), ids(name) AS (VALUES {spdx}),
@@ -227,7 +231,7 @@ dot AS (SELECT s, tw.k, tw.licence, sum(x * (tw.w / tl.l)) AS d FROM val JOIN tw
 sc AS (SELECT dot.s, licence, max(floor(d / l * 1e6 + 0.5) / 1e6) AS score FROM dot JOIN len ON dot.s = len.s GROUP BY dot.s, licence),
 rk AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY score DESC, licence DESC) AS r, lead(score, 1, 0.0::DOUBLE) OVER (PARTITION BY s ORDER BY score DESC, licence DESC) AS next FROM sc),
 bs AS (SELECT s, score, CASE WHEN score - next >= {MARGIN} THEN licence END AS licence FROM rk WHERE r = 1 AND score >= {THRESHOLD}),
-br AS (SELECT row, score, licence FROM (SELECT cut.row, bs.score, bs.licence, row_number() OVER (PARTITION BY cut.row ORDER BY bs.score DESC, bs.licence IS NOT NULL DESC, bs.licence DESC) AS r FROM cut JOIN seg ON cut.w = seg.w JOIN bs ON seg.s = bs.s) WHERE r = 1 AND licence IS NOT NULL),
+br AS (SELECT row, score, licence FROM (SELECT cut.row, bs.score, bs.licence, row_number() OVER (PARTITION BY cut.row ORDER BY coalesce(bs.licence IN ({wider}) AND bs.score >= {WIDER_FROM}, false) DESC, bs.score DESC, bs.licence IS NOT NULL DESC, bs.licence DESC) AS r FROM cut JOIN seg ON cut.w = seg.w JOIN bs ON seg.s = bs.s) WHERE r = 1 AND licence IS NOT NULL),
 own AS (SELECT f.doc_id, f.dir, f.name, f.whole, CASE WHEN sp.row IS NOT NULL THEN 1.0::DOUBLE ELSE br.score END AS score, coalesce(sp.licence, br.licence) AS licence FROM f LEFT JOIN sp ON f.row = sp.row LEFT JOIN br ON f.row = br.row),
 gr AS (SELECT dir, score, licence FROM (SELECT dir, score, licence, row_number() OVER (PARTITION BY dir ORDER BY score DESC, licence DESC) AS r FROM own WHERE whole AND licence IS NOT NULL) WHERE r = 1),
 nr AS (SELECT doc_id, name, o.dir, g.dir AS above, g.score, g.licence, row_number() OVER (PARTITION BY doc_id, o.dir, name ORDER BY length(g.dir) DESC) AS r FROM (SELECT DISTINCT doc_id, name, dir FROM own WHERE licence IS NULL) o JOIN gr g ON o.dir = g.dir OR starts_with(o.dir, g.dir || '/'))

@@ -49,7 +49,7 @@ def plain_own(rows):
         length = math.sqrt(sum((x * idf[t]) ** 2 for t, x in c.items()))
         vectors.append((name, {t: x * idf[t] / length for t, x in c.items()}))
     for k in open_rows:
-        best = (0.0, False, "")
+        best = (False, 0.0, False, "")
         for s in plain_segments(*rows[k]):
             v = {t: x * idf.get(t, other) for t, x in Counter(plain_terms(s)).items()}
             length = math.sqrt(sum(x * x for x in v.values()))
@@ -59,8 +59,8 @@ def plain_own(rows):
             first, second = sorted(((x, name) for name, x in scores.items()), reverse=True)[:2]
             if first[0] >= L.THRESHOLD:
                 known = first[0] - second[0] >= L.MARGIN
-                best = max(best, (first[0], known, first[1] if known else ""))
-        found[k] = (best[0], best[2]) if best[1] else None
+                best = max(best, (known and first[1] in L.WIDER and first[0] >= L.WIDER_FROM, first[0], known, first[1] if known else ""))
+        found[k] = (best[1], best[3]) if best[2] else None
     return [found.get(k) for k in range(len(rows))]
 
 
