@@ -1,68 +1,142 @@
 """Quality by an interpolated modified Kneser-Ney model of trusted text.
 
-The model has characters as symbols and one language's words, from their beginnings to their ends, as
-sentences. N-grams of all trusted text are counted in parts and summed by hash shards; lower orders,
-discounts, interpolated probabilities and back-off weights follow by joins of the count tables. A
-document's perplexity is over all its characters and word ends. It is kept if that isn't above a quantile of the
-perplexities of its language's trusted documents that were held out of the model.
+The model has words as symbols and one document as a sentence. Texts are cut into chunks of whole documents; a chunk's words
+and n-grams are numbered and named by hashes, each once. Counts of trusted text are summed by hash shards; lower orders,
+discounts, interpolated probabilities and back-off weights follow by joins of the count tables. The chunks' n-grams meet
+these tables in one join, whatever the model's size, and the values return to their chunks, where each document is summed. As an
+n-gram occurs once a chunk, no common one is a hot key. A document's perplexity is over all its words and its end. It
+is kept if that isn't above a quantile of the perplexities of its language's trusted documents that were held out of the model.
 """
 
 from __future__ import annotations
 
-import math
-import zlib
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import maybe_broadcast, raw_texts, slices, stored
+from .common import dealt_join, maybe_broadcast, raw_texts, slices, stored
 
-ORDER, BEGIN, END = 4, "\x02", "\x03"
+ORDER = 2
 #: A document may be as perplexing as all but so small a share of its language's trusted documents.
 QUANTILE = 0.995
 #: Perplexities are counted in bins of this width of their logarithm.
 BIN = 0.001
-#: Rows of a model that is sent to all workers; a larger one is joined. Words that a worker remembers or counts at a time.
-MODEL_ROWS, REMEMBERED, COUNTED = 600_000, 300_000, 200_000
+#: Words after which a chunk ends with its document, and n-grams in a row of a chunk's list.
+CHUNK, LISTED = 1_500_000, 8192
 #: One of so many trusted documents sets the thresholds and isn't in the model.
 HELD_OUT = 5
 #: Trusted keys (a number each) up to which they are broadcast.
 KEY_ROWS = 1_000_000
-
-
-def _grams(word: str, order: int) -> list[str]:
-    padded = BEGIN * (order - 1) + word + END
-    return [padded[i : i + order] for i in range(len(word) + 1)]
+#: Shares that a common context's rows are dealt into.
+SALTS = 8
+#: Seed of all hashes, and the constants of XXH64 (fixed values of its definition).
+SEED = 42
+P1, P2, P3, P4, P5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
+#: Sentence marks; neither can be a word.
+BEGIN, END = b"", b" "
+
+
+def word_hash(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word, SEED)
+
+
+def extended(seed: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """XXH64 of each 8-byte value with its own seed: hashes of n-grams, as xxhash64 of their words' hashes gives them."""
+    u = np.uint64
+    x = value * u(P2)
+    x = ((x << u(31)) | (x >> u(33))) * u(P1)
+    x ^= seed + u((P5 + 8) % 2**64)
+    x = ((x << u(27)) | (x >> u(37))) * u(P1) + u(P4)
+    x = (x ^ (x >> u(33))) * u(P2)
+    x = (x ^ (x >> u(29))) * u(P3)
+    return x ^ (x >> u(32))
+
+
+class Chunk:
+    """Documents of one language with numbered words; 0 is BEGIN, 1 is END."""
+
+    def __init__(self, order: int):
+        self.order, self.numbers, self.docs, self.keys, self.size = order, {BEGIN: 0, END: 1}, [], [], 0
+
+    def add(self, key: pa.Array, words: list[bytes]) -> None:
+        numbers = self.numbers
+        for word in words:
+            if word not in numbers:
+                numbers[word] = len(numbers)
+        self.docs.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
+        self.keys.append(key)
+        self.size += len(words) + 1
+
+    def lengths(self) -> np.ndarray:
+        return np.fromiter(map(len, self.docs), np.int64, len(self.docs))
+
+    def hashes(self) -> np.ndarray:
+        return np.fromiter(map(word_hash, self.numbers), np.uint64, len(self.numbers))
+
+
+def padded(words: np.ndarray, lengths: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """All words of a chunk with the marks of each document that has any words, and the first place of each of these."""
+    lengths = lengths[lengths > 0]
+    spans = lengths + order
+    ends = np.cumsum(spans)
+    starts = ends - spans
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.int64)
+    out[np.arange(len(words)) + np.repeat(starts + (order - 1) - (np.cumsum(lengths) - lengths), lengths)] = words
+    out[ends - 1] = 1
+    return out, starts
+
+
+def levels(sequence: np.ndarray, n_words: int, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For 1 to order words: numbers of the grams that end at each place, and each gram's code, its context's number * n_words + its last word."""
+    numbers, codes = sequence, np.arange(n_words, dtype=np.int64)
+    yield numbers, codes
+    for _ in range(order - 1):
+        before = np.concatenate([np.zeros(1, np.int64), numbers[:-1]])
+        codes, numbers = np.unique(before * n_words + sequence, return_inverse=True)
+        yield numbers, codes
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[tuple[str, Chunk]]:
+    open_: dict[str, Chunk] = {}
+    for batch in slices(batches, "text"):
+        keys = batch.column("key")
+        for k, (lang, text) in enumerate(zip(batch.column("lang").to_pylist(), raw_texts(batch.column("text")), strict=True)):
+            chunk = open_.setdefault(lang, Chunk(order))
+            chunk.add(keys.slice(k, 1), (text or b"").split())
+            if sum(c.size for c in open_.values()) > CHUNK:
+                yield from open_.items()
+                open_ = {}
+    yield from open_.items()
 
 
 def count_ngrams(trusted: DataFrame, order: int = ORDER) -> DataFrame:
-    """(lang, gram, c) of all of trusted's rows (lang, text)."""
-
-    def emit(words: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
-        for lang, own in words.items():
-            grams: dict[str, int] = {}
-            seen = grams.get
-            for word, n in own.items():
-                for g in _grams(word.decode(), order):
-                    grams[g] = seen(g, 0) + n
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.keys(), pa.string()), pa.array(grams.values(), pa.int64())], names=["lang", "gram", "c"])
-        words.clear()
+    """(lang, w1, ..., c): n-grams of all of trusted's rows (key, lang, text) as hashes of their words, and their counts."""
+    names = [f"w{k}" for k in range(1, order + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[str, Counter] = {}
-        for batch in slices(batches, "text"):
-            for lang, text in zip(batch.column("lang").to_pylist(), raw_texts(batch.column("text")), strict=True):
-                words.setdefault(lang, Counter()).update((text or b"").split())
-                if len(words[lang]) > COUNTED:
-                    yield from emit(words)
-        yield from emit(words)
-
-    return trusted.mapInArrow(run, "lang string, gram string, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
+        for lang, chunk in _chunks(batches, order):
+            hashes, n = chunk.hashes().view(np.int64), len(chunk.numbers)
+            sequence, _ = padded(np.concatenate(chunk.docs), chunk.lengths(), order)
+            steps = list(levels(sequence, n, order))
+            found = np.bincount(steps[-1][0][sequence != 0], minlength=len(steps[-1][1]))
+            grams = np.flatnonzero(found)
+            counts, columns = found[grams], []
+            for _, codes in reversed(steps):
+                columns.append(hashes[codes[grams] % n])
+                grams = codes[grams] // n
+            for start in range(0, len(counts), 100_000):
+                cut = slice(start, start + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts[cut]), pa.string()), *[pa.array(c[cut]) for c in reversed(columns)], pa.array(counts[cut].astype(np.int64))], names=["lang", *names, "c"])
+
+    schema = f"lang string, {', '.join(f'{w} long' for w in names)}, c long"
+    return trusted.select("key", "lang", "text").mapInArrow(run, schema).groupBy("lang", *names).agg(F.sum("c").alias("c"))
 
 
 def _discounts(counts: DataFrame) -> DataFrame:
@@ -74,152 +148,132 @@ def _discounts(counts: DataFrame) -> DataFrame:
     return n.select("lang", *[F.when(known, F.greatest(F.lit(0.05), F.least(F.lit(k - 0.05), d))).otherwise(k / 2).alias(f"d{k}") for k, d in zip((1, 2, 3), usual, strict=True)])
 
 
+def _matched(left: DataFrame, right: DataFrame, on: dict[str, str], spread: Column) -> DataFrame:
+    """left with the one row of right whose columns, renamed, equal those of left."""
+    other = right.select(F.col("lang").alias("of_lang"), *[F.col(theirs).alias(f"of_{own}") for own, theirs in on.items()], *[c for c in right.columns if c not in {"lang", *on.values()}]).checkpoint()
+    same = F.col("lang") == F.col("of_lang")
+    for own in on:
+        same &= F.col(own) == F.col(f"of_{own}")
+    return dealt_join(left, other, same, spread, salts=SALTS).drop("of_lang", *[f"of_{own}" for own in on])
+
+
 def build_model(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(lang, kind, gram, value) from counts of the highest order: kind "p" has the logarithm of the interpolated
-    probability of a gram's last symbol after the others, "b" the logarithm of a context's back-off weight.
+    """(lang, size, gram, p, b) from counts of the highest order; gram is the hash of its words' hashes.
+
+    p is the logarithm of the interpolated probability of a gram's last word after the others, b that of its
+    back-off weight as a context; either may be null. The row of size 0 has an unknown word's p.
     """
+    words = [f"w{k}" for k in range(1, order + 1)]
     tables = [counts.checkpoint()]
     for k in range(order - 1, 0, -1):
-        tables.append(tables[-1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count(F.lit(1)).alias("c")).checkpoint())
+        shorter = tables[-1].groupBy("lang", *[F.col(w).alias(v) for w, v in zip(words[1 : k + 1], words, strict=False)]).agg(F.count(F.lit(1)).alias("c"))
+        tables.append(shorter.checkpoint())
     below: DataFrame | None = None
     out: DataFrame | None = None
+    none = F.lit(None).cast("double")
     for k, table in enumerate(reversed(tables), 1):
-        t = table.join(maybe_broadcast(_discounts(table).checkpoint()), "lang").withColumn("context", F.substring("gram", 1, k - 1))
-        d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        t = t.withColumn("d", d)
-        contexts = t.groupBy("lang", "context").agg(F.sum("c").alias("total"), F.sum("d").alias("spared"), F.count(F.lit(1)).alias("kinds"))
-        t = t.select("lang", "gram", "context", (F.col("c") - F.col("d")).alias("left")).join(contexts, ["lang", "context"])
+        own, context, spread = words[:k], words[: k - 1], F.xxhash64(*words[:k])
+        t = table.join(maybe_broadcast(_discounts(table).checkpoint()), "lang")
+        t = t.withColumn("d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
+        contexts = t.groupBy("lang", *context).agg(F.sum("c").alias("total"), F.sum("d").alias("spared"), F.count(F.lit(1)).alias("kinds")).checkpoint()
+        t = _matched(t.select("lang", *own, (F.col("c") - F.col("d")).alias("left")), contexts, {w: w for w in context}, spread)
         weight = F.col("spared") / F.col("total")
         if below is None:
-            # Below single symbols, all are alike; one more than seen stands for the unknown.
+            # Below single words, all are alike; one more than seen stands for the unknown.
             t = t.withColumn("p", F.col("left") / F.col("total") + weight / (F.col("kinds") + 1))
-            unknown = contexts.select("lang", F.lit("u").alias("kind"), F.lit("").alias("gram"), F.log(weight / (F.col("kinds") + 1)).alias("value"))
-            out = unknown
+            out = contexts.select("lang", F.lit(0).alias("size"), F.lit(0).cast("long").alias("gram"), F.log(weight / (F.col("kinds") + 1)).alias("p"), none.alias("b"))
         else:
-            lower = below.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("q"))
-            t = t.withColumn("suffix", F.substring("gram", 2, k - 1)).join(lower, ["lang", "suffix"]).withColumn("p", F.col("left") / F.col("total") + weight * F.col("q"))
-            out = out.unionByName(contexts.select("lang", F.lit("b").alias("kind"), F.col("context").alias("gram"), F.log(weight).alias("value")))
-        below = t.select("lang", "gram", "p").checkpoint()
-        out = out.unionByName(below.select("lang", F.lit("p").alias("kind"), "gram", F.log("p").alias("value")))
-    return out
-
-
-class Scorer:
-    """A model's tables in one process."""
-
-    def __init__(self, rows: Iterable[tuple[str, str, str, float]], order: int):
-        self.order, self.p, self.b, self.unknown = order, {}, {}, {}
-        for lang, kind, gram, value in rows:
-            if kind == "u":
-                self.unknown[lang] = value
-            else:
-                (self.p if kind == "p" else self.b).setdefault(lang, {})[gram] = value
-
-    def word(self, lang: str, word: str) -> float:
-        """Sum of the logarithms of the probabilities of a word's characters and its end."""
-        p, b, unknown, total = self.p[lang], self.b.get(lang, {}), self.unknown[lang], []
-        for gram in _grams(word, self.order):
-            if gram in p:
-                total.append(p[gram])
-                continue
-            for k in range(self.order):
-                if gram[k:] in p:
-                    total.append(p[gram[k:]])
-                    break
-                if k < self.order - 1:
-                    total.append(b.get(gram[k:-1], 0.0))
-            else:
-                total.append(unknown)
-        return math.fsum(total)
-
-
-class _Remembered:
-    """Scores of one language's words, those met lately and before that."""
-
-    def __init__(self, scorer: Scorer, lang: str):
-        self.scorer, self.lang, self.new, self.old = scorer, lang, {}, {}
-
-    def of(self, words: list[bytes]) -> list[float]:
-        found = list(map(self.new.get, words))
-        if None in found:
-            found = [self._score(w) if x is None else x for w, x in zip(words, found, strict=True)]
-        return found
-
-    def _score(self, word: bytes) -> float:
-        found = self.new.get(word)
-        if found is None:
-            found = self.old.get(word)
-            if found is None:
-                found = self.scorer.word(self.lang, word.decode())
-            if len(word) <= 64:
-                if len(self.new) >= REMEMBERED:
-                    self.new, self.old = {}, self.new
-                self.new[word] = found
-        return found
-
-
-def _packed(rows: pd.DataFrame) -> pd.DataFrame:
-    text = "\n".join(rows["gram"].str.replace("\n", "\\n"))
-    values = rows["value"].to_numpy(dtype="<f8").tobytes()
-    return pd.DataFrame({"lang": rows["lang"].iloc[:1], "kind": rows["kind"].iloc[:1], "grams": [zlib.compress(text.encode())], "values": [zlib.compress(values, 1)]})
-
-
-def _unpacked(blobs: list[tuple[str, str, bytes, bytes]]) -> Iterator[tuple[str, str, str, float]]:
-    for lang, kind, grams, values in blobs:
-        names = zlib.decompress(grams).decode().split("\n")
-        for gram, value in zip(names, np.frombuffer(zlib.decompress(values), dtype="<f8").tolist(), strict=True):
-            yield lang, kind, gram, value
-
-
-def _score_here(docs: DataFrame, model: DataFrame, order: int) -> DataFrame:
-    """Scores with the whole model in each worker; it goes there, and through the driver, packed."""
-    parts = model.groupBy("lang", "kind", F.pmod(F.xxhash64("gram"), F.lit(16))).applyInPandas(_packed, "lang string, kind string, grams binary, values binary")
-    shared = docs.sparkSession.sparkContext.broadcast([(r["lang"], r["kind"], bytes(r["grams"]), bytes(r["values"])) for r in parts.toLocalIterator()])
-    scorers: list = []  # filled in each worker
+            lower = below.withColumnRenamed("p", "q")
+            t = _matched(t, lower, dict(zip(own[1:], words, strict=False)), spread).withColumn("p", F.col("left") / F.col("total") + weight * F.col("q"))
+            out = out.unionByName(contexts.select("lang", F.lit(k - 1).alias("size"), F.xxhash64(*context).alias("gram"), none.alias("p"), F.log(weight).alias("b")))
+        below = t.select("lang", *own, "p").checkpoint()
+        out = out.unionByName(below.select("lang", F.lit(k).alias("size"), F.xxhash64(*own).alias("gram"), F.log("p").alias("p"), none.alias("b")))
+    return out.groupBy("lang", "size", "gram").agg(F.max("p").alias("p"), F.max("b").alias("b"))
+
+
+def _named(hashes: np.ndarray, steps: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[np.ndarray]:
+    """The hashes of each level's grams."""
+    n, names = len(hashes), extended(np.full(len(hashes), SEED, np.uint64), hashes)
+    yield names
+    for _, codes in steps[1:]:
+        names = extended(names[codes // n], hashes[codes % n])
+        yield names
+
+
+def chunked(rows: DataFrame, order: int) -> DataFrame:
+    """Rows (key, lang, text) as chunks: one row with keys, lengths and word numbers, and rows (size, first, grams) of hashed n-grams."""
+    schema = rows.select(F.lit(0).cast("long").alias("chunk"), "lang", F.lit(0).alias("size"), F.lit(0).cast("long").alias("first"), F.array(F.lit(0).cast("long")).alias("grams"), F.array("key").alias("keys"), F.lit(b"").alias("lengths"), F.lit(b"").alias("words")).schema
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not scorers:
-            scorers.append(Scorer(_unpacked(shared.value), order))
-        scorer, known = scorers[0], {}
-        for batch in slices(batches, "text"):
-            sums, symbols = [], []
-            for lang, text in zip(batch.column("lang").to_pylist(), raw_texts(batch.column("text")), strict=True):
-                words = (text or b"").split()
-                # Characters start with a byte that doesn't go on with another's.
-                symbols.append(int(np.count_nonzero(np.frombuffer(b"".join(words), dtype=np.int8) >= -64)) + len(words))
-                sums.append(math.fsum(known.setdefault(lang, _Remembered(scorer, lang)).of(words)) if lang in scorer.p else None)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("lang"), pa.array(sums, pa.float64()), pa.array(symbols, pa.int64())], names=["key", "lang", "loglik", "symbols"])
-
-    schema = docs.select("key", "lang").schema.add("loglik", "double").add("symbols", "long")
-    return docs.select("key", "lang", "text").mapInArrow(run, schema)
-
-
-def _score_by_joins(docs: DataFrame, model: DataFrame, order: int) -> DataFrame:
-    """As _score_here, for a model of any size: words and n-grams meet the count tables in hash shards."""
-    rows = stored(docs.select("key", "lang", "text").withColumn("row", F.monotonically_increasing_id()), "kn-rows")
-    rows_words = rows.select("row", "lang", F.explode(F.split("text", "[ \\t-\\r]+")).alias("word")).filter("word <> ''").groupBy("row", "lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    rows_words = stored(rows_words, "kn-words")
-    words = rows_words.join(model.select("lang").distinct(), "lang", "left_semi").select("lang", "word").distinct()
-    padded = F.concat(F.lit(BEGIN * (order - 1)), F.col("word"), F.lit(END))
-    at = words.select("lang", "word", F.explode(F.sequence(F.lit(1), F.length("word") + 1)).alias("at"), padded.alias("padded"))
-    at = at.select("lang", "word", F.substring(F.col("padded"), F.col("at"), F.lit(order)).alias("gram"))
-    grams = at.select("lang", "gram").distinct()
-    scored: DataFrame = grams.withColumns({"value": F.lit(0.0), "found": F.lit(False)})
-    for k in range(order, 0, -1):
-        tail = F.substring("gram", order - k + 1, k)
-        p = model.filter("kind = 'p'").filter(F.length("gram") == k).select(F.col("lang").alias("pl"), F.col("gram").alias("pg"), F.col("value").alias("pv"))
-        scored = scored.join(p, (F.col("lang") == F.col("pl")) & (tail == F.col("pg")), "left").drop("pl", "pg")
-        if k > 1:
-            b = model.filter("kind = 'b'").filter(F.length("gram") == k - 1).select(F.col("lang").alias("bl"), F.col("gram").alias("bg"), F.col("value").alias("bv"))
-            scored = scored.join(b, (F.col("lang") == F.col("bl")) & (F.substring("gram", order - k + 1, k - 1) == F.col("bg")), "left").drop("bl", "bg")
-        else:
-            b = model.filter("kind = 'u'").select(F.col("lang").alias("bl"), F.col("value").alias("bv"))
-            scored = scored.join(b, F.col("lang") == F.col("bl"), "left").drop("bl")
-        step = F.when(F.col("found"), 0.0).when(F.col("pv").isNotNull(), F.col("pv")).otherwise(F.coalesce("bv", F.lit(0.0)))
-        scored = scored.select("lang", "gram", (F.col("value") + step).alias("value"), (F.col("found") | F.col("pv").isNotNull()).alias("found"))
-    by_word = at.join(scored, ["lang", "gram"]).groupBy("lang", "word").agg(F.sum("value").alias("loglik"))
-    sums = rows_words.join(by_word, ["lang", "word"], "left").groupBy("row").agg(F.sum(F.col("n") * F.col("loglik")).alias("loglik"), F.sum(F.col("n") * (F.length("word") + 1)).alias("symbols"))
-    return rows.join(sums, "row", "left").select("key", "lang", "loglik", F.coalesce("symbols", F.lit(0)).cast("long").alias("symbols"))
+        types = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int64()), None, pa.binary(), pa.binary()]
+        part = TaskContext.get().partitionId() << 32
+        for number, (lang, chunk) in enumerate(_chunks(batches, order)):
+            documents, lengths = np.concatenate(chunk.docs), chunk.lengths()
+            names = pa.concat_arrays(chunk.keys)
+            types[5] = pa.list_(names.type)
+            words = pa.Codec("zstd").compress(documents.astype("<i4").tobytes(), asbytes=True)
+            whole = [part + number, lang, 0, int(len(documents)), None, None, lengths.astype("<i8").tobytes(), words]
+            arrays = [pa.array([x], t) for x, t in zip(whole, types, strict=True)]
+            arrays[5] = pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names)
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+            sequence, _ = padded(documents, lengths, order)
+            steps = list(levels(sequence, len(chunk.numbers), order))
+            for size, grams in enumerate(_named(chunk.hashes(), steps), 1):
+                firsts = np.arange(0, len(grams), LISTED)
+                lists = pa.ListArray.from_arrays(pa.array([*firsts.tolist(), len(grams)], pa.int32()), pa.array(grams.view(np.int64)))
+                same = len(firsts)
+                made = [pa.array([part + number] * same, types[0]), pa.array([lang] * same, types[1]), pa.array([size] * same, types[2]), pa.array(firsts, types[3]), lists]
+                yield pa.RecordBatch.from_arrays([*made, *[pa.nulls(same, t) for t in types[5:]]], names=schema.names)
+
+    return rows.select("key", "lang", "text").mapInArrow(run, schema)
+
+
+def _scorer(order: int):
+    """Sums of one chunk, of its row and the values that its n-grams have in the model."""
+
+    def run(chunk: pa.Table, values: pa.Table) -> pa.Table:
+        keys = pa.chunked_array([c.flatten() for c in chunk.column("keys").chunks])
+        keys = keys.combine_chunks() if keys.num_chunks != 1 else keys.chunk(0)
+        lengths = np.frombuffer(chunk.column("lengths")[0].as_py(), "<i8")
+        lang, unknown = chunk.column("lang")[0].as_py(), chunk.column("unknown")[0].as_py()
+        symbols = np.where(lengths > 0, lengths + 1, 0)
+        sums = np.zeros(len(lengths))
+        if unknown is not None and symbols.any():
+            n = chunk.column("first")[0].as_py()
+            words = np.frombuffer(pa.Codec("zstd").decompress(chunk.column("words")[0].as_py(), 4 * n, asbytes=True), "<i4")
+            sequence, starts = padded(words, lengths, order)
+            n_words = max(int(words.max()) + 1, 2)
+            score, before = np.full(len(sequence), unknown), None
+            for size, (numbers, codes) in enumerate(levels(sequence, n_words, order), 1):
+                own = values.filter(pc.equal(values.column("size"), size))
+                at = own.column("at").to_numpy()
+                p, b = np.full(len(codes), np.nan), np.zeros(len(codes))
+                p[at] = own.column("p").to_numpy()
+                b[at] = np.nan_to_num(own.column("b").to_numpy())
+                here = p[numbers]
+                if before is not None:
+                    score = score + before
+                score = np.where(np.isnan(here), score, here)
+                before = np.concatenate([np.zeros(1), b[numbers[:-1]]])
+            score[sequence == 0] = 0.0
+            sums[lengths > 0] = np.add.reduceat(score, starts)
+        empty = unknown is None
+        return pa.table({"key": keys, "lang": pa.array([lang] * len(lengths), pa.string()), "loglik": pa.array(sums, pa.float64(), mask=np.full(len(sums), empty)), "symbols": pa.array(symbols, pa.int64())})
+
+    return run
+
+
+def scores(rows: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
+    """(key, lang, loglik, symbols) of rows (key, lang, text); loglik is null in a language that model, which is stored, lacks."""
+    parts = stored(chunked(rows, order), "kn-chunks")
+    grams = parts.filter("size > 0").select("chunk", "lang", "size", "first", F.posexplode("grams").alias("at", "gram"))
+    grams = grams.select("chunk", "lang", "size", (F.col("first") + F.col("at")).alias("at"), "gram")
+    values = grams.join(model.filter("size > 0"), ["lang", "size", "gram"]).select(F.col("chunk").alias("of_chunk"), "size", "at", "p", "b")
+    unknown = model.filter("size = 0").select(F.col("lang").alias("of_lang"), F.col("p").alias("unknown")).checkpoint()
+    whole = dealt_join(parts.filter("size = 0").select("chunk", "lang", "first", "keys", "lengths", "words"), unknown, F.col("lang") == F.col("of_lang"), F.col("chunk"), "left").drop("of_lang")
+    schema = rows.select("key", "lang").schema.add("loglik", "double").add("symbols", "long")
+    return whole.groupBy("chunk").cogroup(values.groupBy("of_chunk")).applyInArrow(_scorer(order), schema)
 
 
 def thresholds(perplexities: DataFrame, quantile: float = QUANTILE) -> DataFrame:
@@ -238,7 +292,7 @@ def held_out(key: Column) -> Column:
     return F.pmod(F.xxhash64(key, F.lit("held")), F.lit(HELD_OUT)) == 0
 
 
-def quality(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", order: int = ORDER, quantile: float = QUANTILE, model_rows: int = MODEL_ROWS) -> DataFrame:
+def quality(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", order: int = ORDER, quantile: float = QUANTILE) -> DataFrame:
     """(key, lang, perplexity, threshold, kept) of each row; trusted has the keys of trusted rows.
 
     A null language is the language ''. Null or blank texts have no perplexity and aren't kept. In a
@@ -250,8 +304,7 @@ def quality(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str =
     known = maybe_broadcast(keys, KEY_ROWS, 40 * KEY_ROWS)
     counts = count_ngrams(rows.filter(~held_out(F.col("key"))).join(known, F.col("key") == F.col("trusted"), "left_semi"), order)
     model = stored(build_model(counts, order), "kn-model")
-    score = _score_here if model.count() <= model_rows else _score_by_joins
-    scored = score(rows, model, order)
+    scored = scores(rows, model, order)
     perplexity: Column = F.when(F.col("symbols") > 0, F.exp(-F.col("loglik") / F.col("symbols")))
     scored = stored(scored.select("key", "lang", perplexity.alias("perplexity"), F.col("symbols")), "kn-scores")
     judged = scored.filter("perplexity IS NOT NULL").join(known, F.col("key") == F.col("trusted"), "left_semi")
