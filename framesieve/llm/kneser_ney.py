@@ -1,11 +1,12 @@
 """Quality by an interpolated modified Kneser-Ney model of trusted text.
 
-The model has words as symbols and one document as a sentence. Texts are cut into chunks of whole documents; a chunk's words
-and n-grams are numbered and named by hashes, each once. Counts of trusted text are summed by hash shards; lower orders,
-discounts, interpolated probabilities and back-off weights follow by joins of the count tables. The chunks' n-grams meet
-these tables in one join, whatever the model's size, and the values return to their chunks, where each document is summed. As an
-n-gram occurs once a chunk, no common one is a hot key. A document's perplexity is over all its words and its end. It
-is kept if that isn't above a quantile of the perplexities of its language's trusted documents that were held out of the model.
+The model has the bytes of UTF-8 as symbols, runs of white space as one space, and one document as a sentence, so that n-grams run
+over the borders of words. Texts are cut into chunks of whole documents, and each n-gram of a chunk is listed once. Counts of trusted text are
+summed by hash shards; lower orders, discounts, interpolated probabilities and back-off weights follow by joins of the count
+tables. The chunks' n-grams meet these tables in joins, whatever the model's size, and the values return to their
+chunks, where each document is summed. As an n-gram occurs once a chunk, no common one is a hot key. A document's
+perplexity is over all its symbols and its end. It is kept if that isn't above a quantile of the perplexities of its
+language's trusted documents that were held out of the model.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,120 +23,92 @@ from pyspark.sql import types as T
 
 from .common import dealt_join, maybe_broadcast, raw_texts, slices, stored
 
-ORDER = 2
+#: Symbols in an n-gram; up to 7 fit into a number.
+ORDER = 6
 #: A document may be as perplexing as all but so small a share of its language's trusted documents.
 QUANTILE = 0.995
 #: Perplexities are counted in bins of this width of their logarithm.
 BIN = 0.001
-#: Words after which a chunk ends with its document, and n-grams in a row of a chunk's list.
-CHUNK, LISTED = 1_500_000, 8192
+#: Bytes after which a chunk ends with its document, and n-grams in a row of a chunk's list.
+CHUNK, LISTED = 6 << 20, 8192
 #: One of so many trusted documents sets the thresholds and isn't in the model.
 HELD_OUT = 5
 #: Trusted keys (a number each) up to which they are broadcast.
 KEY_ROWS = 1_000_000
 #: Shares that a common context's rows are dealt into.
 SALTS = 8
-#: Seed of all hashes, and the constants of XXH64 (fixed values of its definition).
-SEED = 42
-P1, P2, P3, P4, P5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
-#: Sentence marks; neither can be a word.
-BEGIN, END = b"", b" "
-
-
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, SEED)
-
-
-def extended(seed: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """XXH64 of each 8-byte value with its own seed: hashes of n-grams, as xxhash64 of their words' hashes gives them."""
-    u = np.uint64
-    x = value * u(P2)
-    x = ((x << u(31)) | (x >> u(33))) * u(P1)
-    x ^= seed + u((P5 + 8) % 2**64)
-    x = ((x << u(27)) | (x >> u(37))) * u(P1) + u(P4)
-    x = (x ^ (x >> u(33))) * u(P2)
-    x = (x ^ (x >> u(29))) * u(P3)
-    return x ^ (x >> u(32))
+#: Sentence marks; neither is a byte of UTF-8.
+BEGIN, END = b"\xff", b"\xfe"
 
 
 class Chunk:
-    """Documents of one language with numbered words; 0 is BEGIN, 1 is END."""
+    """Documents of one language."""
 
-    def __init__(self, order: int):
-        self.order, self.numbers, self.docs, self.keys, self.size = order, {BEGIN: 0, END: 1}, [], [], 0
+    def __init__(self) -> None:
+        self.docs: list[bytes] = []
+        self.keys: list[pa.Array] = []
+        self.size = 0
 
-    def add(self, key: pa.Array, words: list[bytes]) -> None:
-        numbers = self.numbers
-        for word in words:
-            if word not in numbers:
-                numbers[word] = len(numbers)
-        self.docs.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
+    def add(self, key: pa.Array, text: bytes) -> None:
+        self.docs.append(b" ".join(text.split()))
         self.keys.append(key)
-        self.size += len(words) + 1
+        self.size += len(self.docs[-1]) + 1
 
     def lengths(self) -> np.ndarray:
         return np.fromiter(map(len, self.docs), np.int64, len(self.docs))
 
-    def hashes(self) -> np.ndarray:
-        return np.fromiter(map(word_hash, self.numbers), np.uint64, len(self.numbers))
 
+def grams(data: bytes, lengths: np.ndarray, order: int) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The n-gram that ends at each symbol and end of documents with any symbols, and each document's first place.
 
-def padded(words: np.ndarray, lengths: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """All words of a chunk with the marks of each document that has any words, and the first place of each of these."""
+    An n-gram is a number with its symbols as bytes; those not met before follow those met.
+    """
     lengths = lengths[lengths > 0]
     spans = lengths + order
     ends = np.cumsum(spans)
-    starts = ends - spans
-    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.int64)
-    out[np.arange(len(words)) + np.repeat(starts + (order - 1) - (np.cumsum(lengths) - lengths), lengths)] = words
-    out[ends - 1] = 1
-    return out, starts
-
-
-def levels(sequence: np.ndarray, n_words: int, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For 1 to order words: numbers of the grams that end at each place, and each gram's code, its context's number * n_words + its last word."""
-    numbers, codes = sequence, np.arange(n_words, dtype=np.int64)
-    yield numbers, codes
-    for _ in range(order - 1):
-        before = np.concatenate([np.zeros(1, np.int64), numbers[:-1]])
-        codes, numbers = np.unique(before * n_words + sequence, return_inverse=True)
-        yield numbers, codes
-
-
-def _chunks(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[tuple[str, Chunk]]:
+    symbols = np.full(int(ends[-1]) if len(ends) else 0, BEGIN[0], np.uint8)
+    ours = np.ones(len(symbols), bool)
+    for k in range(order - 1):
+        ours[ends - spans + k] = False
+    symbols[ends - 1] = END[0]
+    text = ours.copy()
+    text[ends - 1] = False
+    symbols[text] = np.frombuffer(data, np.uint8)
+    codes = np.zeros(len(symbols), np.int64)
+    for k in range(order):
+        codes[k:] += symbols[: len(symbols) - k].astype(np.int64) << (8 * k)
+    starts = np.cumsum(lengths + 1) - (lengths + 1)
+    return pc.dictionary_encode(pa.array(codes[ours])), starts
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Chunk]]:
     open_: dict[str, Chunk] = {}
+    size = 0
     for batch in slices(batches, "text"):
         keys = batch.column("key")
         for k, (lang, text) in enumerate(zip(batch.column("lang").to_pylist(), raw_texts(batch.column("text")), strict=True)):
-            chunk = open_.setdefault(lang, Chunk(order))
-            chunk.add(keys.slice(k, 1), (text or b"").split())
-            if sum(c.size for c in open_.values()) > CHUNK:
+            chunk = open_.setdefault(lang, Chunk())
+            before = chunk.size
+            chunk.add(keys.slice(k, 1), text or b"")
+            size += chunk.size - before
+            if size > CHUNK:
                 yield from open_.items()
-                open_ = {}
+                open_, size = {}, 0
     yield from open_.items()
 
 
 def count_ngrams(trusted: DataFrame, order: int = ORDER) -> DataFrame:
-    """(lang, w1, ..., c): n-grams of all of trusted's rows (key, lang, text) as hashes of their words, and their counts."""
-    names = [f"w{k}" for k in range(1, order + 1)]
+    """(lang, gram, c): n-grams of all of trusted's rows (key, lang, text) and their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, chunk in _chunks(batches, order):
-            hashes, n = chunk.hashes().view(np.int64), len(chunk.numbers)
-            sequence, _ = padded(np.concatenate(chunk.docs), chunk.lengths(), order)
-            steps = list(levels(sequence, n, order))
-            found = np.bincount(steps[-1][0][sequence != 0], minlength=len(steps[-1][1]))
-            grams = np.flatnonzero(found)
-            counts, columns = found[grams], []
-            for _, codes in reversed(steps):
-                columns.append(hashes[codes[grams] % n])
-                grams = codes[grams] // n
+        for lang, chunk in _chunks(batches):
+            found, _ = grams(b"".join(chunk.docs), chunk.lengths(), order)
+            counts = np.bincount(found.indices.to_numpy(), minlength=len(found.dictionary)).astype(np.int64)
             for start in range(0, len(counts), 100_000):
-                cut = slice(start, start + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts[cut]), pa.string()), *[pa.array(c[cut]) for c in reversed(columns)], pa.array(counts[cut].astype(np.int64))], names=["lang", *names, "c"])
+                own = found.dictionary.slice(start, 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), own, pa.array(counts[start : start + 100_000])], names=["lang", "gram", "c"])
 
-    schema = f"lang string, {', '.join(f'{w} long' for w in names)}, c long"
-    return trusted.select("key", "lang", "text").mapInArrow(run, schema).groupBy("lang", *names).agg(F.sum("c").alias("c"))
+    return trusted.select("key", "lang", "text").mapInArrow(run, "lang string, gram long, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
 
 
 def _discounts(counts: DataFrame) -> DataFrame:
@@ -148,130 +120,122 @@ def _discounts(counts: DataFrame) -> DataFrame:
     return n.select("lang", *[F.when(known, F.greatest(F.lit(0.05), F.least(F.lit(k - 0.05), d))).otherwise(k / 2).alias(f"d{k}") for k, d in zip((1, 2, 3), usual, strict=True)])
 
 
-def _matched(left: DataFrame, right: DataFrame, on: dict[str, str], spread: Column) -> DataFrame:
-    """left with the one row of right whose columns, renamed, equal those of left."""
-    other = right.select(F.col("lang").alias("of_lang"), *[F.col(theirs).alias(f"of_{own}") for own, theirs in on.items()], *[c for c in right.columns if c not in {"lang", *on.values()}]).checkpoint()
-    same = F.col("lang") == F.col("of_lang")
-    for own in on:
-        same &= F.col(own) == F.col(f"of_{own}")
-    return dealt_join(left, other, same, spread, salts=SALTS).drop("of_lang", *[f"of_{own}" for own in on])
+def _last(gram: Column | str, k: int) -> Column:
+    """The last k symbols of a gram."""
+    return F.col(gram).bitwiseAND(F.lit((1 << (8 * k)) - 1).cast("long"))
+
 
+def _matched(left: DataFrame, right: DataFrame, own: Column, how: str = "inner") -> DataFrame:
+    """left (lang, gram, ...) with the row of right (of_lang, of_gram, ...), which is stored, whose gram is ``own``."""
+    same = (F.col("lang") == F.col("of_lang")) & (own == F.col("of_gram"))
+    return dealt_join(left, right, same, F.col("gram"), how, SALTS).drop("of_lang", "of_gram")
 
-def build_model(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(lang, size, gram, p, b) from counts of the highest order; gram is the hash of its words' hashes.
 
-    p is the logarithm of the interpolated probability of a gram's last word after the others, b that of its
-    back-off weight as a context; either may be null. The row of size 0 has an unknown word's p.
+def build_model(counts: DataFrame, order: int = ORDER) -> dict[int, DataFrame]:
+    """For k up to order, stored: (of_lang, of_gram, p, b) of grams of k symbols, from counts of the highest order.
+
+    p is the logarithm of the interpolated probability of a gram's last symbol after the others, b that of its
+    back-off weight as a context; either may be null. The row of 0 symbols has an unknown symbol's p.
     """
-    words = [f"w{k}" for k in range(1, order + 1)]
-    tables = [counts.checkpoint()]
+    tables = [stored(counts, "kn-counts")]
     for k in range(order - 1, 0, -1):
-        shorter = tables[-1].groupBy("lang", *[F.col(w).alias(v) for w, v in zip(words[1 : k + 1], words, strict=False)]).agg(F.count(F.lit(1)).alias("c"))
-        tables.append(shorter.checkpoint())
+        tables.append(stored(tables[-1].groupBy("lang", _last("gram", k).alias("gram")).agg(F.count(F.lit(1)).alias("c")), "kn-counts"))
+    parts: dict[int, list[DataFrame]] = {k: [] for k in range(order + 1)}
     below: DataFrame | None = None
-    out: DataFrame | None = None
     none = F.lit(None).cast("double")
     for k, table in enumerate(reversed(tables), 1):
-        own, context, spread = words[:k], words[: k - 1], F.xxhash64(*words[:k])
         t = table.join(maybe_broadcast(_discounts(table).checkpoint()), "lang")
         t = t.withColumn("d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
-        contexts = t.groupBy("lang", *context).agg(F.sum("c").alias("total"), F.sum("d").alias("spared"), F.count(F.lit(1)).alias("kinds")).checkpoint()
-        t = _matched(t.select("lang", *own, (F.col("c") - F.col("d")).alias("left")), contexts, {w: w for w in context}, spread)
+        context = F.shiftright("gram", 8)
+        contexts = stored(t.groupBy(F.col("lang").alias("of_lang"), context.alias("of_gram")).agg(F.sum("c").alias("total"), F.sum("d").alias("spared"), F.count(F.lit(1)).alias("kinds")), "kn-contexts")
+        t = _matched(t.select("lang", "gram", (F.col("c") - F.col("d")).alias("left")), contexts, context)
         weight = F.col("spared") / F.col("total")
         if below is None:
-            # Below single words, all are alike; one more than seen stands for the unknown.
+            # Below single symbols, all are alike; one more than seen stands for the unknown.
             t = t.withColumn("p", F.col("left") / F.col("total") + weight / (F.col("kinds") + 1))
-            out = contexts.select("lang", F.lit(0).alias("size"), F.lit(0).cast("long").alias("gram"), F.log(weight / (F.col("kinds") + 1)).alias("p"), none.alias("b"))
+            parts[0].append(contexts.select("of_lang", "of_gram", F.log(weight / (F.col("kinds") + 1)).alias("p"), none.alias("b")))
         else:
-            lower = below.withColumnRenamed("p", "q")
-            t = _matched(t, lower, dict(zip(own[1:], words, strict=False)), spread).withColumn("p", F.col("left") / F.col("total") + weight * F.col("q"))
-            out = out.unionByName(contexts.select("lang", F.lit(k - 1).alias("size"), F.xxhash64(*context).alias("gram"), none.alias("p"), F.log(weight).alias("b")))
-        below = t.select("lang", *own, "p").checkpoint()
-        out = out.unionByName(below.select("lang", F.lit(k).alias("size"), F.xxhash64(*own).alias("gram"), F.log("p").alias("p"), none.alias("b")))
-    return out.groupBy("lang", "size", "gram").agg(F.max("p").alias("p"), F.max("b").alias("b"))
-
-
-def _named(hashes: np.ndarray, steps: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[np.ndarray]:
-    """The hashes of each level's grams."""
-    n, names = len(hashes), extended(np.full(len(hashes), SEED, np.uint64), hashes)
-    yield names
-    for _, codes in steps[1:]:
-        names = extended(names[codes // n], hashes[codes % n])
-        yield names
+            t = _matched(t, below.withColumnRenamed("p", "q"), _last("gram", k - 1)).withColumn("p", F.col("left") / F.col("total") + weight * F.col("q"))
+            parts[k - 1].append(contexts.select("of_lang", "of_gram", none.alias("p"), F.log(weight).alias("b")))
+        below = stored(t.select(F.col("lang").alias("of_lang"), F.col("gram").alias("of_gram"), "p"), "kn-below")
+        parts[k].append(below.select("of_lang", "of_gram", F.log("p").alias("p"), none.alias("b")))
+    model = {}
+    for k, both in parts.items():
+        rows = both[0] if len(both) == 1 else both[0].unionByName(both[1]).groupBy("of_lang", "of_gram").agg(F.max("p").alias("p"), F.max("b").alias("b"))
+        model[k] = stored(rows, "kn-model")
+    return model
+
+
+def gram_scores(found: DataFrame, model: dict[int, DataFrame]) -> DataFrame:
+    """(lang, gram, score) of grams (lang, gram) of the highest order, by backing off from the longest that the model has."""
+    left, out = found.withColumn("score", F.lit(0.0)), None
+    for k in range(max(model), -1, -1):
+        p = model[k].filter("p IS NOT NULL").drop("b")
+        t = stored(_matched(left, p, _last("gram", k), "left"), "kn-met")
+        done = t.filter("p IS NOT NULL").select("lang", "gram", (F.col("score") + F.col("p")).alias("score"))
+        if not k:
+            return done if out is None else out.unionByName(done)
+        out = done if out is None else out.unionByName(done)
+        left = t.filter("p IS NULL").drop("p")
+        if k > 1:
+            weights = model[k - 1].filter("b IS NOT NULL").drop("p")
+            left = _matched(left, weights, F.shiftright(_last("gram", k), 8), "left").withColumn("score", F.col("score") + F.coalesce("b", F.lit(0.0))).drop("b")
+    raise AssertionError
 
 
 def chunked(rows: DataFrame, order: int) -> DataFrame:
-    """Rows (key, lang, text) as chunks: one row with keys, lengths and word numbers, and rows (size, first, grams) of hashed n-grams."""
-    schema = rows.select(F.lit(0).cast("long").alias("chunk"), "lang", F.lit(0).alias("size"), F.lit(0).cast("long").alias("first"), F.array(F.lit(0).cast("long")).alias("grams"), F.array("key").alias("keys"), F.lit(b"").alias("lengths"), F.lit(b"").alias("words")).schema
+    """Rows (key, lang, text) as chunks: one row with keys, lengths and packed texts, and rows (first, grams) of listed n-grams."""
+    number = F.lit(0).cast("long")
+    schema = rows.select(number.alias("chunk"), "lang", number.alias("first"), F.array(number).alias("grams"), F.array("key").alias("keys"), F.lit(b"").alias("lengths"), F.lit(b"").alias("texts")).schema
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int64()), None, pa.binary(), pa.binary()]
         part = TaskContext.get().partitionId() << 32
-        for number, (lang, chunk) in enumerate(_chunks(batches, order)):
-            documents, lengths = np.concatenate(chunk.docs), chunk.lengths()
-            names = pa.concat_arrays(chunk.keys)
-            types[5] = pa.list_(names.type)
-            words = pa.Codec("zstd").compress(documents.astype("<i4").tobytes(), asbytes=True)
-            whole = [part + number, lang, 0, int(len(documents)), None, None, lengths.astype("<i8").tobytes(), words]
+        for at, (lang, chunk) in enumerate(_chunks(batches)):
+            lengths, names, data = chunk.lengths(), pa.concat_arrays(chunk.keys), b"".join(chunk.docs)
+            types = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(names.type), pa.binary(), pa.binary()]
+            whole = [part + at, lang, len(data), None, None, lengths.astype("<i8").tobytes(), pa.Codec("zstd").compress(data, asbytes=True)]
             arrays = [pa.array([x], t) for x, t in zip(whole, types, strict=True)]
-            arrays[5] = pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names)
+            arrays[4] = pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names)
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
-            sequence, _ = padded(documents, lengths, order)
-            steps = list(levels(sequence, len(chunk.numbers), order))
-            for size, grams in enumerate(_named(chunk.hashes(), steps), 1):
-                firsts = np.arange(0, len(grams), LISTED)
-                lists = pa.ListArray.from_arrays(pa.array([*firsts.tolist(), len(grams)], pa.int32()), pa.array(grams.view(np.int64)))
-                same = len(firsts)
-                made = [pa.array([part + number] * same, types[0]), pa.array([lang] * same, types[1]), pa.array([size] * same, types[2]), pa.array(firsts, types[3]), lists]
-                yield pa.RecordBatch.from_arrays([*made, *[pa.nulls(same, t) for t in types[5:]]], names=schema.names)
+            found = grams(data, lengths, order)[0].dictionary
+            firsts = np.arange(0, len(found), LISTED)
+            same = len(firsts)
+            lists = pa.ListArray.from_arrays(pa.array([*firsts.tolist(), len(found)], pa.int32()), found)
+            made = [pa.array([part + at] * same, types[0]), pa.array([lang] * same, types[1]), pa.array(firsts, types[2]), lists]
+            yield pa.RecordBatch.from_arrays([*made, *[pa.nulls(same, t) for t in types[4:]]], names=schema.names)
 
     return rows.select("key", "lang", "text").mapInArrow(run, schema)
 
 
 def _scorer(order: int):
-    """Sums of one chunk, of its row and the values that its n-grams have in the model."""
+    """Sums of one chunk, of its row and the values of its n-grams."""
 
     def run(chunk: pa.Table, values: pa.Table) -> pa.Table:
-        keys = pa.chunked_array([c.flatten() for c in chunk.column("keys").chunks])
-        keys = keys.combine_chunks() if keys.num_chunks != 1 else keys.chunk(0)
+        keys = pa.concat_arrays([c.flatten() for c in chunk.column("keys").chunks])
         lengths = np.frombuffer(chunk.column("lengths")[0].as_py(), "<i8")
-        lang, unknown = chunk.column("lang")[0].as_py(), chunk.column("unknown")[0].as_py()
         symbols = np.where(lengths > 0, lengths + 1, 0)
         sums = np.zeros(len(lengths))
-        if unknown is not None and symbols.any():
-            n = chunk.column("first")[0].as_py()
-            words = np.frombuffer(pa.Codec("zstd").decompress(chunk.column("words")[0].as_py(), 4 * n, asbytes=True), "<i4")
-            sequence, starts = padded(words, lengths, order)
-            n_words = max(int(words.max()) + 1, 2)
-            score, before = np.full(len(sequence), unknown), None
-            for size, (numbers, codes) in enumerate(levels(sequence, n_words, order), 1):
-                own = values.filter(pc.equal(values.column("size"), size))
-                at = own.column("at").to_numpy()
-                p, b = np.full(len(codes), np.nan), np.zeros(len(codes))
-                p[at] = own.column("p").to_numpy()
-                b[at] = np.nan_to_num(own.column("b").to_numpy())
-                here = p[numbers]
-                if before is not None:
-                    score = score + before
-                score = np.where(np.isnan(here), score, here)
-                before = np.concatenate([np.zeros(1), b[numbers[:-1]]])
-            score[sequence == 0] = 0.0
-            sums[lengths > 0] = np.add.reduceat(score, starts)
-        empty = unknown is None
-        return pa.table({"key": keys, "lang": pa.array([lang] * len(lengths), pa.string()), "loglik": pa.array(sums, pa.float64(), mask=np.full(len(sums), empty)), "symbols": pa.array(symbols, pa.int64())})
+        if len(values):
+            data = pa.Codec("zstd").decompress(chunk.column("texts")[0].as_py(), chunk.column("first")[0].as_py(), asbytes=True)
+            found, starts = grams(data, lengths, order)
+            score = np.zeros(len(found.dictionary))
+            score[values.column("at").to_numpy()] = values.column("score").to_numpy()
+            sums[lengths > 0] = np.add.reduceat(score[found.indices.to_numpy()], starts)
+        blank = np.full(len(sums), not len(values))
+        return pa.table({"key": keys, "lang": pa.array([chunk.column("lang")[0].as_py()] * len(lengths), pa.string()), "loglik": pa.array(sums, pa.float64(), mask=blank), "symbols": pa.array(symbols, pa.int64())})
 
     return run
 
 
-def scores(rows: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
-    """(key, lang, loglik, symbols) of rows (key, lang, text); loglik is null in a language that model, which is stored, lacks."""
+def scores(rows: DataFrame, model: dict[int, DataFrame], order: int = ORDER) -> DataFrame:
+    """(key, lang, loglik, symbols) of rows (key, lang, text); loglik is null in a language that model lacks."""
     parts = stored(chunked(rows, order), "kn-chunks")
-    grams = parts.filter("size > 0").select("chunk", "lang", "size", "first", F.posexplode("grams").alias("at", "gram"))
-    grams = grams.select("chunk", "lang", "size", (F.col("first") + F.col("at")).alias("at"), "gram")
-    values = grams.join(model.filter("size > 0"), ["lang", "size", "gram"]).select(F.col("chunk").alias("of_chunk"), "size", "at", "p", "b")
-    unknown = model.filter("size = 0").select(F.col("lang").alias("of_lang"), F.col("p").alias("unknown")).checkpoint()
-    whole = dealt_join(parts.filter("size = 0").select("chunk", "lang", "first", "keys", "lengths", "words"), unknown, F.col("lang") == F.col("of_lang"), F.col("chunk"), "left").drop("of_lang")
+    listed = parts.filter("grams IS NOT NULL").select("chunk", "lang", "first", F.posexplode("grams").alias("at", "gram"))
+    listed = listed.select(F.col("chunk").alias("of_chunk"), "lang", (F.col("first") + F.col("at")).alias("at"), "gram")
+    known = stored(gram_scores(listed.select("lang", "gram").distinct(), model), "kn-gram-scores")
+    values = listed.join(known, ["lang", "gram"]).select("of_chunk", "at", "score")
+    whole = parts.filter("keys IS NOT NULL").select("chunk", "lang", "first", "keys", "lengths", "texts")
     schema = rows.select("key", "lang").schema.add("loglik", "double").add("symbols", "long")
     return whole.groupBy("chunk").cogroup(values.groupBy("of_chunk")).applyInArrow(_scorer(order), schema)
 
@@ -303,7 +267,7 @@ def quality(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str =
     keys = trusted.select(F.col(f"`{key}`").alias("trusted")).filter("trusted IS NOT NULL").distinct().checkpoint()
     known = maybe_broadcast(keys, KEY_ROWS, 40 * KEY_ROWS)
     counts = count_ngrams(rows.filter(~held_out(F.col("key"))).join(known, F.col("key") == F.col("trusted"), "left_semi"), order)
-    model = stored(build_model(counts, order), "kn-model")
+    model = build_model(counts, order)
     scored = scores(rows, model, order)
     perplexity: Column = F.when(F.col("symbols") > 0, F.exp(-F.col("loglik") / F.col("symbols")))
     scored = stored(scored.select("key", "lang", perplexity.alias("perplexity"), F.col("symbols")), "kn-scores")
