@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from .common import dealt_join, maybe_broadcast, raw_texts, slices, stored
 
 #: Symbols in an n-gram; up to 7 fit into a number.
-ORDER = 6
+ORDER = 5
 #: A document may be as perplexing as all but so small a share of its language's trusted documents.
 QUANTILE = 0.995
 #: Perplexities are counted in bins of this width of their logarithm.
