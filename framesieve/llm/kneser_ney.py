@@ -24,13 +24,13 @@ from pyspark.sql import types as T
 from .common import dealt_join, maybe_broadcast, raw_texts, slices, stored
 
 #: Symbols in an n-gram; up to 7 fit into a number.
-ORDER = 5
+ORDER = 4
 #: A document may be as perplexing as all but so small a share of its language's trusted documents.
 QUANTILE = 0.995
 #: Perplexities are counted in bins of this width of their logarithm.
 BIN = 0.001
-#: Bytes after which a chunk ends with its document, and n-grams in a row of a chunk's list.
-CHUNK, LISTED = 6 << 20, 8192
+#: Bytes of one language after which a chunk ends with its document, of all languages' open chunks, and n-grams in a row of a chunk's list.
+CHUNK, OPEN, LISTED = 8 << 20, 32 << 20, 8192
 #: One of so many trusted documents sets the thresholds and isn't in the model.
 HELD_OUT = 5
 #: Trusted keys (a number each) up to which they are broadcast.
@@ -74,9 +74,10 @@ def grams(data: bytes, lengths: np.ndarray, order: int) -> tuple[pa.DictionaryAr
     text = ours.copy()
     text[ends - 1] = False
     symbols[text] = np.frombuffer(data, np.uint8)
-    codes = np.zeros(len(symbols), np.int64)
+    codes = np.zeros(len(symbols), "<i8")
+    places = codes.view(np.uint8).reshape(-1, 8)
     for k in range(order):
-        codes[k:] += symbols[: len(symbols) - k].astype(np.int64) << (8 * k)
+        places[k:, k] = symbols[: len(symbols) - k]
     starts = np.cumsum(lengths + 1) - (lengths + 1)
     return pc.dictionary_encode(pa.array(codes[ours])), starts
 
@@ -91,7 +92,10 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Chunk]]:
             before = chunk.size
             chunk.add(keys.slice(k, 1), text or b"")
             size += chunk.size - before
-            if size > CHUNK:
+            if chunk.size > CHUNK:
+                size -= chunk.size
+                yield lang, open_.pop(lang)
+            elif size > OPEN:
                 yield from open_.items()
                 open_, size = {}, 0
     yield from open_.items()
