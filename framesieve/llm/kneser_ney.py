@@ -198,7 +198,7 @@ def chunked(rows: DataFrame, order: int) -> DataFrame:
         for at, (lang, chunk) in enumerate(_chunks(batches)):
             lengths, names, data = chunk.lengths(), pa.concat_arrays(chunk.keys), b"".join(chunk.docs)
             types = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(names.type), pa.binary(), pa.binary()]
-            whole = [part + at, lang, len(data), None, None, lengths.astype("<i8").tobytes(), pa.Codec("zstd").compress(data, asbytes=True)]
+            whole = [part + at, lang, len(data), None, None, lengths.astype("<i8").tobytes(), pa.Codec("zstd", compression_level=12).compress(data, asbytes=True)]
             arrays = [pa.array([x], t) for x, t in zip(whole, types, strict=True)]
             arrays[4] = pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names)
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
