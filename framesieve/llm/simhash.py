@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dealt_join, fresh, mapped, maybe_broadcast, raw_texts, row_hash, slices, stored
+from .common import BROADCAST_BYTES, BROADCAST_ROWS, dealt_join, fresh, mapped, maybe_broadcast, raw_texts, row_hash, slices, stored
 
 SEED, SHINGLE, BUDGET = 42, 4, 4
 #: Fingerprints that two nodes may hold together before they are dealt by longer prefixes, and the usual number.
@@ -30,8 +30,8 @@ MOST_IN_UNIT, USUAL_IN_NODE = 1 << 20, 1 << 14
 FIRST_BITS, MORE_BITS = (4, 16), 8
 #: Node pairs with so few fingerprint pairs are compared outright; pairs compared, and nodes held, at a time.
 LEAF_PAIRS, AT_ONCE = 64, 1 << 20
-#: Rows and bytes of the rows to drop up to which they are broadcast; beyond, they are joined by their hashes.
-MARKED = (1_000_000, 64 << 20)
+#: Rows and bytes of the rows to drop up to which they are broadcast, which the driver has to hold; beyond, they are joined by their hashes.
+MARKED = (BROADCAST_ROWS, BROADCAST_BYTES)
 _U = np.uint64
 
 
@@ -356,6 +356,11 @@ def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", total:
     hashed = docs.withColumns({h: least, g: other})
     same = (F.col(h) == F.col(drop_h)) & (F.col(g) == F.col(drop_g))
     names = [F.col(f"`{c}`") for c in docs.columns]
-    once = hashed.join(maybe_broadcast(marked.select(drop_h, drop_g), *MARKED), same, "left_anti")
-    again = hashed.join(maybe_broadcast(marked.filter("again").select(drop_h, drop_g), *MARKED), same, "left_semi").dropDuplicates([h, g])
+
+    def met(drop: DataFrame) -> DataFrame:
+        small = maybe_broadcast(drop, *MARKED)
+        return drop.hint("merge") if small is drop else small  # else Spark's own bound would broadcast what is over this one
+
+    once = hashed.join(met(marked.select(drop_h, drop_g)), same, "left_anti")
+    again = hashed.join(met(marked.filter("again").select(drop_h, drop_g)), same, "left_semi").dropDuplicates([h, g])
     return once.unionByName(again).select(*names)

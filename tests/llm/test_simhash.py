@@ -2,6 +2,7 @@ import itertools
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from framesieve.llm import simhash
 
@@ -92,6 +93,15 @@ def test_kept_rows_are_the_same_in_any_order(spark, monkeypatch):
     assert simhash.keep_first(docs.limit(0), key="d.id").count() == 0
 
 
+def test_many_rows_to_drop_stay_off_the_driver(spark):
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit("one two three four five").alias("text"))
+    kept = simhash.keep_first(docs)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "LeftAnti" in line]
+    assert joins and not any("Broadcast" in line for line in joins)
+    assert [r["doc_id"] for r in kept.collect()] == [0]
+
+
 def test_query_matches_brute_force(spark):
     from framesieve.llm.queries import QUERIES
 
