@@ -68,10 +68,14 @@ def revert_plan(transfers: DataFrame, present: DataFrame, moved: bool) -> DataFr
     return rows.select("group_id", F.row_number().over(order).alias("seq"), action.alias("action"), F.col("dst").alias("src"), F.when(F.lit(moved), F.col("src")).alias("dst"), F.when(F.col("there").isNull(), "target missing").alias("failure"))
 
 
-def committed(paths: DataFrame, transfers: DataFrame, path: str = "path") -> DataFrame:
-    """paths after a move: where a file went, or where it is."""
-    moved = transfers.select(F.col("src").alias("__src__"), F.col("dst").alias("__dst__"))
-    return paths.join(moved, F.col(path) == F.col("__src__"), "left").withColumn(path, F.coalesce("__dst__", path)).drop("__src__", "__dst__")
+def committed(paths: DataFrame, transfers: DataFrame, path: str = "path", by: tuple[str, ...] = ()) -> DataFrame:
+    """paths after a move: where a file went, or where it is. by: columns of both that tell files of one path apart."""
+    names = [f"__{c}__" for c in by]
+    moved = transfers.select(F.col("src").alias("__src__"), F.col("dst").alias("__dst__"), *[F.col(c).alias(n) for c, n in zip(by, names, strict=True)])
+    same = F.col(path) == F.col("__src__")
+    for c, n in zip(by, names, strict=True):
+        same &= F.col(c) == F.col(n)
+    return paths.join(moved, same, "left").withColumn(path, F.coalesce("__dst__", path)).drop("__src__", "__dst__", *names)
 
 
 def committed_states(states: DataFrame, transfers: DataFrame, move: bool) -> DataFrame:

@@ -4,10 +4,13 @@ import itertools
 import os
 import struct
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from framesieve.functions import quality, text
 from framesieve.operators import archive, faces, knockout, pairs, runs
+from framesieve.plans import catalogue
 from framesieve.sources import cache, images
 
 
@@ -101,3 +104,22 @@ def test_metadata_with_place(spark):
     table = images.metadata(spark.createDataFrame([("p", data)], "path string, content binary"))
     row = table.select(*[c.alias(n) for n, c in images.exif_columns(F.col("exif")).items()], F.col("exif")["orientation"].alias("turn")).first()
     assert (row["camera"], row["lat"], row["lon"], row["turn"], row["taken"]) == ("Abc", -31.5, 121.01, "6", None)
+
+
+@pytest.fixture(scope="module")
+def long_ids(tmp_path_factory):
+    """Events whose numbers are over six digits, so that captures share paths."""
+    folder = str(tmp_path_factory.mktemp("long"))
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT event_id + 1000000 AS event_id, * EXCLUDE (event_id) FROM '/root/testdata/sf0.001/events.parquet') TO '{folder}/events.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{folder}/events.parquet')")
+    return folder, con
+
+
+@pytest.mark.parametrize("name", ["archive_commit"])
+def test_captures_that_share_a_path(spark, long_ids, name):
+    folder, con = long_ids
+    df = catalogue.QUERIES[name](spark, folder)
+    columns = sorted(df.columns)
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({catalogue.ORACLES[name]})").fetchall()
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in df.select(columns).collect())
