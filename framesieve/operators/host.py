@@ -84,11 +84,18 @@ def thumbnail_key(path: Column, width: int) -> Column:
     return F.substring(F.sha2(F.concat(F.encode(path, "UTF-8"), F.lit(width.to_bytes(4, "little"))), 256), 1, 16)
 
 
-def thumbnail_state(sources: DataFrame, thumbnails: DataFrame, width: int) -> DataFrame:
-    """(path, key, fresh): whether a thumbnail (key, mtime) at least as new as its source (path, mtime) is there."""
-    rows = sources.select("path", "mtime", thumbnail_key(F.col("path"), width).alias("key"))
-    t = thumbnails.select(F.col("key").alias("k"), F.col("mtime").alias("made"))
-    return rows.join(t, F.col("key") == F.col("k"), "left").select("path", "key", F.coalesce(F.col("made") >= F.col("mtime"), F.lit(False)).alias("fresh"))
+def thumbnail_state(sources: DataFrame, thumbnails: DataFrame, width: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(path, key, fresh) of each source: whether a thumbnail (key, mtime) at least as new as it (path, mtime) is there.
+
+    by: columns of both that tell sources of one path apart. Of several thumbnails with one key the newest counts.
+    """
+    names = [f"__{c}__" for c in by]
+    rows = sources.select("path", "mtime", *by, thumbnail_key(F.col("path"), width).alias("key"))
+    t = thumbnails.groupBy(F.col("key").alias("k"), *[F.col(c).alias(n) for c, n in zip(by, names, strict=True)]).agg(F.max("mtime").alias("made"))
+    same = F.col("key") == F.col("k")
+    for c, n in zip(by, names, strict=True):
+        same &= F.col(c) == F.col(n)
+    return rows.join(t, same, "left").select("path", "key", F.coalesce(F.col("made") >= F.col("mtime"), F.lit(False)).alias("fresh"))
 
 
 def data_url(content: Column) -> Column:
