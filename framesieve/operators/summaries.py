@@ -57,9 +57,12 @@ def skipped_tail(rows: DataFrame, seq: str, n: int = 50) -> DataFrame:
     return rows.orderBy(F.col(seq).desc()).limit(n)
 
 
-def rejected_members(members: DataFrame, rejected: DataFrame, group: str, path: str = "path") -> DataFrame:
-    """(group, path, reason) of each rejected picture (path, reason) that is in a group; one that is in none is left out."""
-    return members.select(group, path).distinct().join(rejected, path).select(group, path, "reason")
+def rejected_members(members: DataFrame, rejected: DataFrame, group: str, path: str = "path", by: tuple[str, ...] = ()) -> DataFrame:
+    """(group, path, reason) of each rejected picture (path, reason) that is in a group; one that is in none is left out.
+
+    by: columns of both that tell pictures of one path apart.
+    """
+    return members.select(group, path, *by).distinct().join(rejected, [path, *by]).select(group, path, "reason")
 
 
 def ordered_groups(members: DataFrame, group: str, time: str, key: str) -> DataFrame:

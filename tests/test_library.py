@@ -116,7 +116,7 @@ def long_ids(tmp_path_factory):
     return folder, con
 
 
-@pytest.mark.parametrize("name", ["archive_commit", "revert_steps", "thumbnail_state"])
+@pytest.mark.parametrize("name", ["archive_commit", "revert_steps", "thumbnail_state", "rejects_by_group"])
 def test_captures_that_share_a_path(spark, long_ids, name):
     folder, con = long_ids
     df = catalogue.QUERIES[name](spark, folder)
