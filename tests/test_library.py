@@ -123,3 +123,10 @@ def test_captures_that_share_a_path(spark, long_ids, name):
     columns = sorted(df.columns)
     want = con.execute(f"SELECT {', '.join(columns)} FROM ({catalogue.ORACLES[name]})").fetchall()
     assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in df.select(columns).collect())
+
+
+def test_pairs_are_dealt_to_a_fixed_number_of_tasks(spark):
+    rows = spark.range(40).select("id", F.lit(1).alias("b"), F.col("id").cast("double").alias("ts"))
+    for made, n in ((pairs.blocked_pairs(rows, ["b"]), 780), (pairs.near_pairs(rows, ["b"], 5.0), 185)):
+        assert "REPARTITION_BY_NUM" in made._jdf.queryExecution().toString()
+        assert made.count() == n
