@@ -130,3 +130,13 @@ def test_pairs_are_dealt_to_a_fixed_number_of_tasks(spark):
     for made, n in ((pairs.blocked_pairs(rows, ["b"]), 780), (pairs.near_pairs(rows, ["b"], 5.0), 185)):
         assert "REPARTITION_BY_NUM" in made._jdf.queryExecution().toString()
         assert made.count() == n
+
+
+def test_close_pairs_with_evidence_are_those_of_all_pairs(spark):
+    from framesieve.plans import views
+
+    rows = runs.sessions(views.captures(spark, "/root/testdata/sf0.001"))
+    evidence = rows.select(F.col("id").alias("i"), (F.col("id") + 1).alias("j"), (F.col("user_id") % 100).alias("inliers"))
+    want = pairs.fast_pairs(rows, ["segment_id"], evidence, seconds=1800.0).filter("dist <= 0.46").collect()
+    got = pairs.fast_pairs(rows, ["segment_id"], evidence, seconds=1800.0, cutoff=0.46).collect()
+    assert want and sorted(map(repr, got)) == sorted(map(repr, want))
