@@ -82,7 +82,8 @@ def dealt_join(left: DataFrame, right: DataFrame, on: Column, spread: Column, ho
     own, other = fresh(both, "__salt__"), fresh(both, "__deal__")
     dealt = left.withColumn(own, F.pmod(F.xxhash64(spread), F.lit(salts)))
     wide = right.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return dealt.join(wide, on & (F.col(own) == F.col(other)), how).drop(own, other)
+    # Spark sizes the repeated rows as the file that they come from, and would broadcast them on the driver.
+    return dealt.join(wide.hint("merge"), on & (F.col(own) == F.col(other)), how).drop(own, other)
 
 
 def row_hash(df: DataFrame) -> Column:

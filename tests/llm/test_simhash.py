@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from framesieve.llm import simhash
+from framesieve.llm import common, simhash
 
 
 def brute_fingerprint(text):
@@ -102,6 +102,14 @@ def test_many_rows_to_drop_stay_off_the_driver(spark):
     assert [r["doc_id"] for r in kept.collect()] == [0]
 
 
+def test_repeated_rows_of_a_dealt_join_stay_off_the_driver(spark):
+    left = spark.range(60_000).select(F.col("id").alias("x"), (F.col("id") % 50_500).alias("k"))
+    right = common.stored(spark.range(50_500).select(F.col("id").alias("own"), F.hex("id").alias("v")), "wide")
+    out = common.dealt_join(left, right, F.col("k") == F.col("own"), F.col("x"))
+    assert not any("Broadcast" in line for line in out._jdf.queryExecution().executedPlan().toString().splitlines())
+    assert out.count() == 60_000 and out.filter("v <> hex(k)").count() == 0
+
+
 def test_query_matches_brute_force(spark):
     from framesieve.llm.queries import QUERIES
 
