@@ -161,3 +161,22 @@ def test_registered_linkage_takes_whole_sessions(spark):
     tied = runs.forced_groups(rows, runs.burst_runs(views.bursts(spark, sf))).select("id", F.concat_ws(":", "segment_id", "prefix", "run_id").alias("run"))
     want = linkage.groups(rows.withColumn("t", F.col("ts")), whole, tied, 0.46, 20).collect()
     assert sorted(map(tuple, pair_queries.complete_linkage_forced(spark, sf).collect())) == sorted(map(tuple, want))
+
+
+def test_bounded_expert_pairs_lose_none(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "CELL", 16)
+    monkeypatch.setattr(pairs, "STRIPE", 64)
+    rng = random.Random(5)
+    rows = []
+    for k in range(90):
+        vector = [None, [], [0.0, 0.0, 0.0], [float("nan"), 1.0, 0.0], [1.0, 0.0], [1.0, None, 0.0]][k % 11] if k % 11 < 6 else [rng.uniform(-0.3, 1.0) for _ in range(3)]
+        faces, lat = rng.choice([None, 0, 1]), rng.choice([None, 31.0])
+        rows.append((k, rng.choice(["s", "t", None]), rng.choice([None, rng.uniform(0, 300)]), vector, "c", None, rng.choice(["A", "B"]), rng.choice([None, rng.randrange(60)]), lat, lat, faces))
+    table = spark.createDataFrame(rows, "id long, k string, mtime double, embedding array<double>, camera string, lens string, prefix string, number long, lat double, lon double, faces int")
+    for face in (None, F.lit(0.9)):
+        want = pairs.expert_pairs(table, ["k"], face).filter("dist <= 0.46").collect()
+        bounded = pairs.expert_pairs(table, ["k"], face, cutoff=0.46)
+        got = bounded.collect()
+        assert len(want) > 50 and sorted(map(tuple, got)) == sorted(map(tuple, want))
+    candidates = pairs._expert_candidates(table, ["k"], 0.46, False).count()
+    assert candidates < pairs.blocked_pairs(table, ["k"]).count()
